@@ -51,8 +51,8 @@ def _database(memory: str):
     return db
 
 
-def _arrow(result) -> pa.Table:
-    table = result.to_arrow_table() if hasattr(result, "to_arrow_table") else result.arrow()
+def _arrow(relation) -> pa.Table:
+    table = relation.to_arrow_table() if hasattr(relation, "to_arrow_table") else relation.arrow()
     return table.read_all() if isinstance(table, pa.RecordBatchReader) else table
 
 
@@ -66,7 +66,7 @@ def _reduce(memory: str):
         db = _database(memory)
         for b in batches:
             db.register("batch", pa.Table.from_batches([b]))
-            yield from _plain(_arrow(db.execute(f"select owner, entry_k, case when e.n then e.v end entry_v, e.s seq_num, e.d is_deleted from ({_NEWEST})")))
+            yield from _plain(_arrow(db.sql(f"select owner, entry_k, case when e.n then e.v end entry_v, e.s seq_num, e.d is_deleted from ({_NEWEST})")))
             db.unregister("batch")
 
     return reduce
@@ -90,7 +90,7 @@ def _upsert(memory: str, step_rows: int):
                 apply()
         if held:
             apply()
-        yield from _plain(_arrow(db.execute(_EXPORT)))
+        yield from _plain(_arrow(db.sql(_EXPORT)))
 
     return upsert
 
