@@ -1,0 +1,68 @@
+from pyspark.sql import functions as F
+
+from weirflow.functions import codecs, hashing, numbers, times
+
+# fixed values: published hash results
+GOLDEN = {"abcdefg": 2285673222, "": 0, "123456": 3210799800, "a1": 882153338}
+
+
+def test_murmur3(spark):
+    assert hashing.murmur3_32([k.encode() for k in GOLDEN]).tolist() == list(GOLDEN.values())
+    df = spark.createDataFrame([(k,) for k in GOLDEN] + [(None,)], "k string").select("k", hashing.murmur3(F.col("k")).alias("h"))
+    assert {r.k: r.h for r in df.collect()} == GOLDEN | {None: None}
+
+
+def test_groups_and_ranges(spark):
+    assert [e - s for s, e in hashing.ranges(256, 7)] == [37] * 4 + [36] * 3
+    keys = spark.range(10).select("id", codecs.long_to_bytes(F.col("id")).alias("k"))
+    place = keys.select("id", hashing.range_index(hashing.key_group(F.col("k")), 256, 2).alias("r"), hashing.owned(F.col("k"), 0, 128).alias("o"))
+    got = {r.id: (r.r, r.o) for r in place.collect()}
+    assert {k for k, v in got.items() if v == (0, True)} == {1, 2, 3, 4, 8, 9} and {k for k, v in got.items() if v == (1, False)} == {0, 5, 6, 7}
+    for groups, parts in ((256, 7), (10, 3), (5, 5), (3, 5)):
+        table = [(r.group_start, r.group_end) for r in hashing.range_table(spark, groups, parts).orderBy("range_no").collect()]
+        assert table == hashing.ranges(groups, parts)
+        index = [r.i for r in spark.range(groups).select(hashing.range_index(F.col("id"), groups, parts).alias("i")).collect()]
+        assert index == [next(n for n, (a, z) in enumerate(table) if a <= g < z) for g in range(groups)]
+
+
+def test_assign_ranges(spark):
+    got = hashing.assign_ranges(hashing.range_table(spark, 8, 3), hashing.range_table(spark, 8, 2))
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 0), (1, 0), (1, 1), (2, 1)]
+
+
+def test_codecs(spark):
+    values = [0, 1, -1, 255, 2**63 - 1, -(2**63), None]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    rows = df.select("v", codecs.long_to_bytes(F.col("v")).alias("b")).withColumn("back", codecs.bytes_to_long(F.col("b"))).collect()
+    for r in rows:
+        assert r.back == r.v and (r.v is None or bytes(r.b) == r.v.to_bytes(8, "big", signed=True))
+    assert spark.sql("select cast('' as binary) b").select(codecs.bytes_to_long(F.col("b"))).first()[0] == 0
+    text = spark.createDataFrame([("a.b.c",), ("a.b.",), ("",), (".",), (None,)], "t string").select(codecs.frames(F.col("t"), ".").alias("f"))
+    assert [r.f for r in text.collect()] == [["a", "b", "c"], ["a", "b"], [], [""], None]
+
+
+def test_state_keys(spark):
+    df = spark.createDataFrame([(7, "user-1", "timestamps", "x"), (300, "", "", ""), (1, "ü", "n", "long entry")], "g int, s string, n string, e string")
+    df = df.withColumn("k", codecs.state_key(*map(F.col, "gsne")))
+    part = codecs.parse_state_key(F.col("k"))
+    for r in df.select("g", "s", "n", "e", "k", *[c.alias("_" + n) for n, c in part.items()]).collect():
+        assert (r._key_group, bytes(r._subject).decode(), bytes(r._namespace).decode(), bytes(r._entry).decode()) == (r.g, r.s, r.n, r.e)
+    assert bytes(df.first().k) == b"\x00\x07\x00\x00\x00\x00\x06user-1\x0atimestampsx"
+    timer = spark.range(1).select(codecs.timer_key(F.lit(2), F.lit(1), F.lit("k")).alias("t")).first().t
+    assert bytes(timer) == b"\x00\x02\x01" + (1000).to_bytes(8, "big") + b"k"
+
+
+def test_times(spark):
+    df = spark.createDataFrame([(x,) for x in (0, 1, 2, 3, 4, -1, -3, 7)], "t long")
+    rows = df.select("t", times.truncate(F.col("t"), 4).alias("a"), times.ceiling(F.col("t"), 4).alias("b"), times.nearest(F.col("t"), 4).alias("c"), times.nearest(F.col("t"), 3).alias("d")).collect()
+    for r in rows:
+        assert r.a == r.t // 4 * 4 and r.b == -(-r.t // 4) * 4
+        away = lambda t, s: (1 if t >= 0 else -1) * ((2 * abs(t) + s) // (2 * s)) * s
+        assert (r.c, r.d) == (away(r.t, 4), away(r.t, 3))
+
+
+def test_numbers(spark):
+    cases = {"7": 7, "007": 7, " 7": 7, "7 ": 7, "+7": 7, "0": 0, "000": 0, "": None, "x": None, "-1": None, "1.0": None, "9" * 18: 10**18 - 1, "9" * 19: None, None: None}
+    df = spark.createDataFrame([(k,) for k in cases], "s string").select("s", numbers.whole_number(F.col("s")).alias("n"), numbers.canonical_decimal(F.col("s")).alias("c"))
+    assert {r.s: r.n for r in df.collect()} == cases
+    assert df.where(F.col("s") == "9" * 19).first().c == "9" * 19
