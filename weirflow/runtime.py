@@ -68,9 +68,12 @@ def plan_bytes(df: DataFrame) -> int:
 def partitions_for(df: DataFrame, bytes_each: int, inflation: float = 3.0) -> int:
     """How many partitions keep each near bytes_each, at least spark.sql.shuffle.partitions.
 
-    inflation is how much larger rows are in memory than in a column file.
+    inflation is how much larger rows are in memory than in a column file. Where the planner doesn't know a size (it then
+    takes it for over a petabyte), it is spark.sql.shuffle.partitions.
     """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if plan_bytes(df) > 1 << 50:
+        return least
     return max(least, min(100_000, int(plan_bytes(df) * inflation // bytes_each) + 1))
 
 
