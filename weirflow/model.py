@@ -79,9 +79,10 @@ class Subject:
 
 
 class Handler:
-    """Subclass and override. `state` declares the names of state values and their codecs."""
+    """Subclass and override. `state` declares the names of state values and their codecs, fine_timers that timers may lie between milliseconds."""
 
     state: dict[str, Codec] = {}
+    fine_timers = False
 
     def key_events(self, raw: bytes) -> Iterable[KeyedEvent]:
         raise NotImplementedError

@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     named = conf.get(CHECKPOINT_DIR) or spark.conf.get(CHECKPOINT_DIR, None)
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="weirflow-")
         spark.conf.set(CHECKPOINT_DIR, named)

@@ -6,8 +6,8 @@ micro-batch are handled in order of (time, arrival), its state being read and wr
 Spark would drop rows older than the watermark. To handle late events, as the model says, the watermark runs on a column `wm_ts`, the
 largest time seen so far in order of arrival (with_arrival_watermark makes it), so that no row is ever behind it. A stream without that
 column runs on its own times, and Spark then drops what is late. With a delay of one
-millisecond a timer fires once the largest time has passed it. Spark's timers count milliseconds: one between two milliseconds
-fires at the later one.
+millisecond a timer fires once the largest time has passed it. Spark's timers count milliseconds: one between two milliseconds is moved to
+the later one, unless the handler declares fine_timers; its exact times are then kept in state.
 """
 
 from __future__ import annotations
@@ -38,22 +38,22 @@ class HandlerProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.values = {n: handle.getValueState(f"v{k}", "data binary") for k, n in enumerate(sorted(self.handler.state))}
-        # the exact times behind timers in milliseconds
-        self.exact = handle.getValueState("timers", "times array<long>")
+        self.exact = handle.getValueState("timers", "times array<long>") if self.handler.fine_timers else None
 
     def _run(self, key, timer_values, calls) -> Iterator[pd.DataFrame]:
         mark_ms = timer_values.getCurrentWatermarkInMs()
         stored = {n: bytes(v.get()[0]) for n, v in self.values.items() if v.exists()}
         before = dict(stored)
         subject = Subject(key[0], (mark_ms + 1) * 1000 - 1, self.handler.state, stored)
-        times = set(self.exact.get()[0]) if self.exact.exists() else set()
+        times = set(self.exact.get()[0]) if self.exact and self.exact.exists() else set()
         old = set(times)
         calls(subject, times)
-        for t in subject.new_timers - old:
-            self.handle.registerTimer(_due_ms(t))
-        times |= subject.new_timers
-        if times != old:
-            self.exact.update((sorted(times),))
+        for ms in {_due_ms(t) for t in subject.new_timers - old}:
+            self.handle.registerTimer(ms)
+        if self.exact:
+            times |= subject.new_timers
+            if times != old:
+                self.exact.update((sorted(times),))
         for n, v in self.values.items():
             if n not in subject.stored:
                 if n in before:
@@ -78,7 +78,7 @@ class HandlerProcessor(StatefulProcessor):
         at = expiredTimerInfo.getExpiryTimeInMs()
 
         def calls(subject, times):
-            for t in sorted(t for t in times if _due_ms(t) == at):
+            for t in sorted(t for t in times if _due_ms(t) == at) if self.exact else [at * 1000]:
                 times.discard(t)
                 self.handler.on_timer(subject, t)
 
