@@ -1,7 +1,7 @@
 """Filling containers of a fixed capacity with texts, by the sum of squares.
 
 A text is placed where the sum, over all residual gaps, of the squared number of open containers with that gap becomes
-smallest. Texts are dealt to packing groups by a hash of their id and each group is packed by one task, which holds the gap counts and
+smallest. Texts are dealt to packing groups by a hash of their id and place in the input and each group is packed by one task, which holds the gap counts and
 the sizes of its own texts. A group's size is a parameter, so its share of unfilled containers is small
 at every scale and no task grows with the corpus.
 """
@@ -90,10 +90,11 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_T
     """container_id, doc_id, piece_no, first_token, n_tokens: every text's place.
 
     sizes has doc_id (long) and n_tokens. A text has one piece unless it is larger than the capacity. Null sizes count as 0, and rows of
-    the same doc_id are separate texts. The same input gives the same containers. An empty input gives no rows.
+    the same doc_id are separate texts and don't crowd into one group. The same input in the same partitions gives the same containers. An empty input gives no rows.
     """
     kept = cut(sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")))
-    total = kept.agg(F.sum("n_tokens")).first()[0] or 0
+    # an empty text counts as one token here, so that groups of empty texts have a bound too
+    total = kept.agg(F.sum(F.greatest("n_tokens", F.lit(1)))).first()[0] or 0
     groups = max(1, ceil(total / group_tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +110,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_T
             arrays = [pa.array((int(group[a]) << _GROUP_SHIFT) + box), ids, *map(pa.array, (piece, first, n))]
             yield pa.RecordBatch.from_arrays(arrays, names=["container_id", "doc_id", "piece_no", "first_token", "n_tokens"])
 
-    placed = kept.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    placed = kept.withColumn("g", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     # the group is the partition, so each has one task; larger texts come first, which leaves small ones to fill gaps
     each = placed.repartitionById(groups, F.col("g")).sortWithinPartitions("g", F.desc("n_tokens"), "doc_id")
     return each.mapInArrow(run, SCHEMA)
