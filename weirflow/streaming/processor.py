@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -40,7 +40,7 @@ class HandlerProcessor(StatefulProcessor):
         self.values = {n: handle.getValueState(f"v{k}", "data binary") for k, n in enumerate(sorted(self.handler.state))}
         self.exact = handle.getValueState("timers", "times array<long>") if self.handler.fine_timers else None
 
-    def _run(self, key, timer_values, calls) -> Iterator[pd.DataFrame]:
+    def _run(self, key, timer_values, calls) -> Iterator[Row]:
         mark_ms = timer_values.getCurrentWatermarkInMs()
         stored = {n: bytes(v.get()[0]) for n, v in self.values.items() if v.exists()}
         before = dict(stored)
@@ -61,20 +61,19 @@ class HandlerProcessor(StatefulProcessor):
             elif before.get(n) != subject.stored[n]:
                 v.update((subject.stored[n],))
         if subject.sent:
-            yield pd.DataFrame({"key": [key[0]] * len(subject.sent), "value": subject.sent})
+            yield from (Row(key=key[0], value=v) for v in subject.sent)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        if "arrival" in batch:
-            batch = batch.sort_values(["ts_us", "arrival"], kind="stable")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        events = [(r.ts_us, (r.arrival or 0) if "arrival" in r else 0, bytes(r.value or b"")) for r in rows]
+        events.sort(key=lambda e: e[:2])
 
         def calls(subject, _):
-            for ts, value in zip(batch["ts_us"], batch["value"]):
-                self.handler.on_event(subject, KeyedEvent(key[0], int(ts), bytes(value or b"")))
+            for ts, _, value in events:
+                self.handler.on_event(subject, KeyedEvent(key[0], ts, value))
 
         yield from self._run(key, timerValues, calls)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         at = expiredTimerInfo.getExpiryTimeInMs()
 
         def calls(subject, times):
@@ -104,7 +103,7 @@ def process(events: DataFrame, handler: Handler) -> DataFrame:
     return (
         marked.withWatermark("wm_ts", "1 millisecond")
         .groupBy("key")
-        .transformWithStateInPandas(statefulProcessor=HandlerProcessor(handler), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+        .transformWithState(statefulProcessor=HandlerProcessor(handler), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
     )
 
 
