@@ -145,6 +145,24 @@ def coalesced_timers(spark, d):
     return keyed.timers(events(spark, d), "user_id", truncate(F.col("ts_us"), DAY) + DAY)
 
 
+@query(_TIMERS + " select user_id, min(timer_us) timer_us from t group by all")
+def earliest_timers(spark, d):
+    return coalesced_timers(spark, d).groupBy("user_id").agg(F.min("timer_us").alias("timer_us"))
+
+
+@query("select job_name, max(checkpoint_id) checkpoint_id from job_checkpoints where status = 'completed' group by all")
+def latest_checkpoint(spark, d):
+    done = table(spark, d, "job_checkpoints").where(F.col("status") == "completed")
+    return done.groupBy("job_name").agg(F.max("checkpoint_id").alias("checkpoint_id"))
+
+
+@query("select event_type, min(event_id) event_id, bool_and(value >= 0.01) all_paid, arg_min(user_id, event_id) user_id from events group by all")
+def unique_and_every(spark, d):
+    """The first event of each type, and whether every one of a type has a value."""
+    rows = table(spark, d, "events").groupBy("event_type")
+    return rows.agg(F.min("event_id").alias("event_id"), F.every(F.col("value") >= 0.01).alias("all_paid"), F.min_by("user_id", "event_id").alias("user_id"))
+
+
 @query(_TIMERS + ", w as (select min(m) - 1 watermark_us from (select max(ts_us) m from e group by event_id % 4)) select user_id, timer_us from t, w where timer_us <= watermark_us")
 def due_timers(spark, d):
     e = events(spark, d)
