@@ -30,7 +30,7 @@ def source_states(events: DataFrame, period_us: int = HOUR_US, lateness_us: int
     tick = gcd(period_us, lateness_us)
     rows = events.where("event_key is not null and ts_us is not null and arrival_us is not null")
     spread = F.pmod(F.xxhash64("ts_us", "arrival_us"), F.lit(sources)) if source is None else source
-    floor = lambda c, by: F.floor(F.col(c) / F.lit(1)) if by == 1 else F.col(c) - F.pmod(F.col(c), F.lit(by))
+    floor = lambda c, by: F.col(c) - F.pmod(F.col(c), F.lit(by))
     steps = (
         rows.select(
             "event_key",

@@ -17,7 +17,7 @@ def daily_totals(events: DataFrame, value: Column | None = None) -> DataFrame:
     """event_key, day (days since 1970-01-01) and total: the events, or the sum of value, of each key's active days."""
     rows = events.where("event_key is not null and ts_us is not null")
     what = F.count(F.lit(1)) if value is None else F.sum(value)
-    return rows.groupBy("event_key", F.floor(F.expr(f"ts_us div {DAY_US} - if(pmod(ts_us, {DAY_US}) != 0 and ts_us < 0, 1, 0)")).alias("day")).agg(what.alias("total"))
+    return rows.groupBy("event_key", F.expr(f"(ts_us - pmod(ts_us, {DAY_US})) div {DAY_US}").alias("day")).agg(what.alias("total"))
 
 
 def rolling_totals(daily: DataFrame, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
