@@ -1,17 +1,17 @@
 """Held-out test passages inside a corpus: which documents hold which items.
 
-Both sides are reduced to a stream of their letters a-z and digits, in lower case. Case, punctuation, blanks and line breaks are gone
-then, and so are characters outside ASCII, which a wrong charset turns into others outside ASCII. A shingle is
-SHINGLE letters of the stream, the length of about five words, at every position: words run together or torn apart don't matter.
+Both sides are reduced to a stream of their letters a-z and digits, in lower case, with character references (&nbsp;) resolved. Case,
+punctuation, blanks and line breaks are gone then, and so are characters outside ASCII, which a wrong charset turns into others
+outside ASCII. A shingle is SHINGLE letters of the stream, the length of about five words, at every position: words run together or
+torn apart don't matter.
 
-1. One pass over the corpus finds, with a rolling hash, every stretch of a document that is made of item shingles.
+1. One pass over the corpus finds, with a rolling hash, every document that has item shingles, and which.
 2. Shingles are ordered by rarity: the number of documents of the whole corpus that have them.
 3. A document that shares s shingles with an item shares at least one of its n - s + 1 rarest. Only these, the item's
-   prefix, are joined with the documents' shingles; common phrases of many items are never paired up.
-4. Pairs are bounded by length and position: the document's stretches must be long enough and some window of WINDOW item lengths
-   must hold enough of them.
-5. What is left is verified letter by letter: runs of equal letters are chained over gaps of about a word, and the item's words that
-   lie in chains inside one window are counted.
+   prefix, are joined with the documents' shingles. By default one shared shingle is enough (s = 1): shingles only choose the
+   pairs to look at, and an item changed at every few words has few of them left.
+4. What is left is verified letter by letter on the whole document: runs of at least SHORT equal letters are chained over gaps of
+   about a word, and the item's words that lie in chains inside one window are counted.
 
 Items travel to the tasks as arrays of hashes. An item set of more than BLOCK_SHINGLES shingles is taken in blocks, each a pass of
 its own, so what is sent has a bound; all items and all documents are always compared.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from html import unescape
 from math import ceil
 
 import numpy as np
@@ -31,14 +32,16 @@ from pyspark.sql import functions as F
 from weirflow.runtime import cut
 
 SHINGLE = 24
+#: Letters in a row that a passage holds on to between two disturbances.
+SHORT = 12
 #: Letters of a changed or inserted word that a chain may skip.
 GAP = 24
 #: Lengths of an item within which its passages may lie in a document, in any order, with other text between.
 WINDOW = 4
 #: Share of an item's words that must lie in passages.
 SHARE = 0.5
-#: Share of an item's shingles that such a document has at least: half of its words, one in seven of them changed.
-SHINGLE_SHARE = 0.1
+#: Share of an item's shingles that a document must have to be looked at, besides one of them.
+SHINGLE_SHARE = 0.0
 #: Words in a row that at least one passage must exceed.
 QUOTE = 12
 BLOCK_SHINGLES = 2_000_000
@@ -47,8 +50,11 @@ _DROP = bytes(b for b in range(256) if not (48 <= b <= 57 or 97 <= b <= 122))
 
 
 def letters(text: str | None) -> bytes:
-    """The letters a-z and digits of a text, in lower case."""
-    return (text or "").lower().encode("ascii", "ignore").translate(None, _DROP)
+    """The letters a-z and digits of a text, in lower case. Character references count as what they stand for."""
+    text = (text or "").lower()
+    if "&" in text:
+        text = unescape(unescape(text)).lower()  # pages hold some that are escaped twice
+    return text.encode("ascii", "ignore").translate(None, _DROP)
 
 
 def item_words(text: str | None) -> tuple[bytes, np.ndarray]:
@@ -80,8 +86,8 @@ def _hashes(stream: np.ndarray, width: int = SHINGLE) -> np.ndarray:
         return done ^ (done >> np.uint64(29))
 
 
-def _find_stretches(known: np.ndarray, ids: list, streams: list[bytes]) -> Iterator[tuple]:
-    """(id, letters in all, [(offset, letters of the stretch)], hashes of its shingles) of each document with item shingles."""
+def _find_documents(known: np.ndarray, ids: list, streams: list[bytes]) -> Iterator[tuple]:
+    """(id, letters, hashes of its item shingles) of each document with item shingles."""
     seen = np.zeros(1 << 22, bool)
     seen[(known >> np.uint64(42)).astype(np.int64)] = True
     whole = np.frombuffer(b"".join(streams), np.uint8)
@@ -96,29 +102,20 @@ def _find_stretches(known: np.ndarray, ids: list, streams: list[bytes]) -> Itera
     inside = at + SHINGLE <= ends[doc]
     at, doc = at[inside], doc[inside]
     for d in np.unique(doc):
-        base = int(ends[d]) - len(streams[d])
         mine = at[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
-        heads = np.flatnonzero(np.append(True, np.diff(mine) > 1))
-        tails = np.append(heads[1:], len(mine)) - 1
-        stretches = [(int(mine[a]) - base, streams[d][int(mine[a]) - base : int(mine[z]) - base + SHINGLE].decode()) for a, z in zip(heads, tails)]
-        yield ids[d], len(streams[d]), stretches, np.unique(hashed[mine]).view(np.int64)
+        yield ids[d], streams[d].decode(), np.unique(hashed[mine]).view(np.int64)
 
 
-_HITS = "doc_id long, n_letters int, stretches array<struct<at:int,run:string>>, shingles array<long>"
+_HITS = "doc_id long, letters string, shingles array<long>"
 
 
 def _scan(known: np.ndarray):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("at", pa.int32()), ("run", pa.string())]))
-
         def out(ids: list, streams: list[bytes]) -> Iterator[pa.RecordBatch]:
-            found = list(_find_stretches(known, ids, streams))
+            found = list(_find_documents(known, ids, streams))
             if found:
-                doc, size, runs, shingles = zip(*found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(size, pa.int32()), pa.array([[{"at": a, "run": r} for a, r in x] for x in runs], kind), pa.array(shingles, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_letters", "stretches", "shingles"],
-                )
+                doc, stream, shingles = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(stream, pa.string()), pa.array(shingles, pa.list_(pa.int64()))], names=["doc_id", "letters", "shingles"])
 
         for b in batches:
             ids, streams, held = [], [], 0
@@ -151,42 +148,52 @@ def item_shingles(items: DataFrame) -> DataFrame:
 def passages(item: bytes, starts: np.ndarray, stretches: list[tuple[int, bytes]]) -> tuple[int, int]:
     """(words, longest): most of the item's words that passages in one window of the document hold, and the words of its longest passage.
 
-    A word counts when at least half of its letters lie in a passage.
+    A passage is a chain of runs of at least SHORT equal letters that has one of SHINGLE or holds more than QUOTE words. Changed words
+    between two runs of SHINGLE belong to it; beside shorter runs only equal letters do, as texts of one pattern differ in just such
+    gaps. A word counts when at least half of its letters belong to a passage.
     """
     where: dict[bytes, list[int]] = {}
-    for q in range(len(item) - SHINGLE + 1):
-        where.setdefault(item[q : q + SHINGLE], []).append(q)
+    for q in range(len(item) - SHORT + 1):
+        where.setdefault(item[q : q + SHORT], []).append(q)
     runs: list[list[int]] = []
     for at, run in stretches:
         live: dict[int, list[int]] = {}
-        for p in range(len(run) - SHINGLE + 1):
+        for p in range(len(run) - SHORT + 1):
             now = {}
-            for q in where.get(run[p : p + SHINGLE], ()):
+            for q in where.get(run[p : p + SHORT], ()):
                 r = live.get(at + p - q)
                 if r is None:
-                    r = [at + p, q, SHINGLE]
+                    r = [at + p, q, SHORT]
                     runs.append(r)
                 else:
                     r[2] += 1
                 now[at + p - q] = r
             live = now
-    chains: list[list[int]] = []  # document from, to, item from, to
+    chains: list[list] = []  # document from, to, item from, to, spans of the item, ends of the last long run in document and item
     for p, q, n in sorted(runs):
+        long = n >= SHINGLE
         for c in reversed(chains):
             if -SHINGLE <= p - c[1] <= GAP and -SHINGLE <= q - c[3] <= GAP and q >= c[2]:
+                near = long and c[5] is not None and p - c[5][0] <= GAP and q - c[5][1] <= GAP
+                c[4].append((min(q, c[5][1]) if near else q, q + n))
                 c[1], c[3] = max(c[1], p + n), max(c[3], q + n)
                 break
         else:
-            chains.append([p, p + n, q, q + n])
+            c = [p, p + n, q, q + n, [(q, q + n)], None]
+            chains.append(c)
+        if long:
+            c[5] = (max(p + n, c[5][0]), max(q + n, c[5][1])) if c[5] else (p + n, q + n)
     sizes = np.diff(starts)
 
-    def words(spans) -> int:
+    def words(chosen) -> int:
         covered = np.zeros(len(item) + 1, np.int64)
-        for _, _, x, y in spans:
-            covered[x:y] = 1
+        for c in chosen:
+            for x, y in c[4]:
+                covered[x:y] = 1
         sums = np.concatenate([[0], np.cumsum(covered)])
         return int(((sums[starts[1:]] - sums[starts[:-1]]) * 2 >= sizes).sum())
 
+    chains = [c for c in chains if c[5] or (len(c[4]) > 1 and words([c]) > QUOTE)]
     best = (0, 0)
     for first in chains:
         inside = [c for c in chains if c[0] >= first[0] and c[1] <= first[0] + max(first[1] - first[0], WINDOW * len(item))]
@@ -198,12 +205,12 @@ def _verify(share: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, item, held, of = [], [], [], []
-            for r in b.to_pylist():
-                stream, starts = item_words(r["item_text"])
-                words, longest = passages(stream, starts, [(s["at"], s["run"].encode()) for s in r["stretches"]])
+            for d, i, text, item_text in zip(*(b[c] for c in ("doc_id", "item_id", "letters", "item_text"))):
+                stream, starts = item_words(item_text.as_py())
+                words, longest = passages(stream, starts, [(0, text.as_py().encode())])
                 n = len(starts) - 1
                 if words >= share * n and longest > min(QUOTE, ceil(share * n) - 1):
-                    doc.append(r["doc_id"]), item.append(r["item_id"]), held.append(words), of.append(n)
+                    doc.append(d.as_py()), item.append(i.as_py()), held.append(words), of.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(held, pa.int32()), pa.array(of, pa.int32())], names=["doc_id", "item_id", "n_words", "of_words"])
 
     return verify
@@ -222,18 +229,15 @@ def _one_block(docs: DataFrame, items: DataFrame, shingles: DataFrame, share: fl
     prefix = ranked.where("rank <= n - needed + 1").select("item_id", "shingle", "needed")
     pairs = seen.join(prefix, "shingle").groupBy("doc_id", "item_id").agg(F.max("needed").alias("needed"))
     pairs = pairs.join(hits, "doc_id").join(items, "item_id")
-    # length: shingles at hand; position: enough of them begin within one window
-    reach = F.length("item_text") * WINDOW
-    room = lambda s: F.aggregate(F.filter("stretches", lambda x: x["at"].between(s["at"], s["at"] + F.length(s["run"]) + reach)), F.lit(0), lambda n, x: n + F.length(x["run"]) - (SHINGLE - 1))
-    pairs = pairs.where((F.size("shingles") >= F.col("needed")) & F.exists("stretches", lambda s: room(s) >= F.col("needed")))
-    return pairs.select("doc_id", "item_id", "stretches", "item_text").mapInArrow(_verify(share), "doc_id long, item_id long, n_words int, of_words int")
+    pairs = pairs.where(F.size("shingles") >= F.col("needed"))
+    return pairs.select("doc_id", "item_id", "letters", "item_text").mapInArrow(_verify(share), "doc_id long, item_id long, n_words int, of_words int")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", share: float = SHARE, shingle_share: float = SHINGLE_SHARE, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, item_id, n_words, of_words: documents that hold at least `share` of an item's words as passages, and how many of how many.
 
-    A passage is a chain of runs of at least SHINGLE equal letters; single changed words between runs belong to it. At
-    least one passage must be longer than QUOTE words (or than just under `share` of a shorter item), so stock phrases and quotations are no
+    A passage is a chain of runs of at least SHORT equal letters (passages). A document without any SHINGLE letters of the item in a row
+    isn't looked at. At least one passage must be longer than QUOTE words (or than just under `share` of a shorter item), so stock phrases and quotations are no
     case. Null and empty texts hold nothing; items with less than SHINGLE letters can't be found. A document or item id that
     recurs is reported once, with its best row; null ids are left out.
     """
