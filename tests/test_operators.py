@@ -297,3 +297,29 @@ def test_splits(spark):
     assert rows(keyed.available_splits(shards, "s", "p").select("s")) == [("a",), ("c",), ("d",)]
     taken = spark.createDataFrame([("a",)], "s string")
     assert rows(keyed.available_splits(shards, "s", "p", taken).select("s")) == [("c",), ("d",)]
+
+
+def test_late_counts_go_on_from_earlier_states(spark):
+    rng = random.Random(9)
+    data = [(i, rng.choice("ab"), rng.randrange(3 * HOUR), rng.randrange(12 * HOUR)) for i in range(400)]
+    frame = lambda d: spark.createDataFrame(d, "event_id long, event_key string, ts_us long, arrival_us long")
+    whole = late.source_states(frame(data))
+    rng.shuffle(data)
+    first = late.source_states(frame(data[:150]))
+    second = late.source_states(frame(data[150:]), earlier=first)
+    want = rows(late.read_counts(whole))
+    assert rows(late.read_counts(late.merge_states(second, first))) == want and rows(late.read_counts(second)) == want
+    assert rows(second) == rows(whole)
+    # an event's source depends on its id alone
+    ids = frame([(i, "a", 0, t) for i in range(40) for t in (1, 2 * HOUR, 5 * HOUR)])
+    each = [{(r.event_key, r.source, r.value) for r in late.source_states(ids.where(F.col("arrival_us") == t)).collect()} for t in (1, 2 * HOUR, 5 * HOUR)]
+    assert each[0] == each[1] == each[2]
+    null = late.source_states(frame([(None, "a", 0, 1), (None, "a", 0, 2)]))
+    assert rows(late.read_counts(null)) == [("a", 0, 2, 2, 0, 0)]
+
+
+def test_events_keep_their_id(spark):
+    at = lambda h: datetime(2011, 1, 1, h)
+    df = spark.createDataFrame([(1, "a", at(1), at(3)), (1, "a", at(1), at(2)), (None, "c", at(1), at(1))], "id long, k string, ts timestamp_ntz, seen timestamp_ntz")
+    got = distinct_events(df, "id", "k", "ts", "seen", keep_id=True)
+    assert got.columns == ["event_id", "event_key", "ts_us", "arrival_us"] and sorted(r.event_id or 0 for r in got.collect()) == [0, 1]

@@ -5,8 +5,8 @@ source numbers its own states (versions) and its value never falls. Two copies o
 source's maximum, and the count is the sum over sources. Merging is commutative, associative and
 idempotent, so states may be sent again, late or in any order.
 
-A source here is a hash bucket of event ids: all deliveries of one event reach the same source, which counts it once, and a
-hot key is spread over all sources. The version is the arrival time in ticks of gcd(period, lateness), hence a
+A source here is a hash bucket of event ids: all deliveries of one event reach the same source, and a hot key is spread over all
+sources. A source goes on counting from its earlier states; that an event comes to it once is up to who calls (distinct_events). The version is the arrival time in ticks of gcd(period, lateness), hence a
 period's end and its cut-off are version borders and counts "as of" them are exact.
 """
 
@@ -21,15 +21,20 @@ HOUR_US = 3_600_000_000
 COUNTER = ["event_key", "period_start_us", "source", "version"]
 
 
-def source_states(events: DataFrame, period_us: int = HOUR_US, lateness_us: int = 6 * HOUR_US, sources: int = 8, source: Column | None = None) -> DataFrame:
+def source_states(events: DataFrame, period_us: int = HOUR_US, lateness_us: int = 6 * HOUR_US, sources: int = 8, source: Column | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """The counter states that the sources publish: event_key, period_start_us, source, version, value.
 
-    events has event_key, ts_us, arrival_us and counts each event once (distinct_events). Events without an arrival time
-    count as never arrived. Each state holds the source's count of all its arrivals up to and including its version's tick.
+    events has event_key, ts_us, arrival_us and counts each event once (distinct_events); by its event_id, if there is one, an event
+    finds its source, else and for null ids by its times. Events without an arrival time count as never arrived. Each state holds the
+    source's count of all its arrivals up to and including its version's tick. earlier are all states published so far, of events that
+    are not in `events` again and with as many sources; the sources go on from them, and come out with all their states.
     """
     tick = gcd(period_us, lateness_us)
     rows = events.where("event_key is not null and ts_us is not null and arrival_us is not null")
-    spread = F.pmod(F.xxhash64("ts_us", "arrival_us"), F.lit(sources)) if source is None else source
+    spread = F.xxhash64("ts_us", "arrival_us")
+    if "event_id" in events.columns:
+        spread = F.when(F.col("event_id").isNull(), spread).otherwise(F.xxhash64("event_id"))
+    spread = F.pmod(spread, F.lit(sources)) if source is None else source
     floor = lambda c, by: F.col(c) - F.pmod(F.col(c), F.lit(by))
     steps = (
         rows.select(
@@ -41,7 +46,12 @@ def source_states(events: DataFrame, period_us: int = HOUR_US, lateness_us: int
         .groupBy(*COUNTER)
         .agg(F.count(F.lit(1)).alias("step"))
     )
-    grows = Window.partitionBy("event_key", "period_start_us", "source").orderBy("version").rowsBetween(Window.unboundedPreceding, 0)
+    by_source = Window.partitionBy("event_key", "period_start_us", "source").orderBy("version")
+    grows = by_source.rowsBetween(Window.unboundedPreceding, 0)
+    if earlier is not None:
+        before = F.coalesce(F.lag("value").over(by_source), F.lit(0))
+        known = merge_states(earlier).withColumn("value", F.max("value").over(grows))
+        steps = steps.unionByName(known.select(*COUNTER, (F.col("value") - before).alias("step"))).groupBy(*COUNTER).agg(F.sum("step").alias("step"))
     return steps.select(*COUNTER, F.sum("step").over(grows).alias("value"))
 
 

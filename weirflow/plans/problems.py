@@ -11,8 +11,8 @@ from weirflow.operators.events import distinct_events
 from weirflow.runtime import micros, scratch, table
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
-    return distinct_events(table(spark, d, "sliding_events"), "event_id", "event_key", "event_ts", "approximate_arrival_timestamp")
+def _events(spark: SparkSession, d: str, keep_id: bool = False) -> DataFrame:
+    return distinct_events(table(spark, d, "sliding_events"), "event_id", "event_key", "event_ts", "approximate_arrival_timestamp", keep_id)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ def p4_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
-    states = late.source_states(_events(spark, d))
+    states = late.source_states(_events(spark, d, keep_id=True))
     return late.read_counts(late.merge_states(states))
 
 
