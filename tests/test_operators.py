@@ -323,3 +323,19 @@ def test_events_keep_their_id(spark):
     df = spark.createDataFrame([(1, "a", at(1), at(3)), (1, "a", at(1), at(2)), (None, "c", at(1), at(1))], "id long, k string, ts timestamp_ntz, seen timestamp_ntz")
     got = distinct_events(df, "id", "k", "ts", "seen", keep_id=True)
     assert got.columns == ["event_id", "event_key", "ts_us", "arrival_us"] and sorted(r.event_id or 0 for r in got.collect()) == [0, 1]
+
+
+def test_key_stats_run_where_the_plan_says(spark):
+    rng = random.Random(4)
+    data = [(k, rng.choice([None, rng.randrange(1_000)])) for k in ["hot"] * 3_000 + [f"k{n}" for n in range(300)] * 3 + [None] * 50]
+    df = spark.createDataFrame(data, "k string, x long").repartition(4)
+    plan = skew.TaskPlan(df, "k", tasks=8)
+    stats = skew.key_stats(df, "k", F.col("x"), plan)
+    ran = stats._jdf.queryExecution().executedPlan().toString()
+    assert ran.count("shufflepartitionidpassthrough") == 1 and ran.count("Exchange hashpartitioning") == 1
+    want = defaultdict(list)
+    for k, x in data:
+        if k is not None:
+            want[k].append(x)
+    times = lambda v: [x for x in v if x is not None] or [None]
+    assert rows(stats) == sorted(((k, len(v), min(times(v)), max(times(v))) for k, v in want.items()), key=repr)

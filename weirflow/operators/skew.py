@@ -10,13 +10,18 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from math import ceil
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 #: Most buckets a plan has, hence most rows that are collected and broadcast (about 100 bytes each).
 MAX_BUCKETS = 65_536
+#: Most partial results that an input task holds before it passes them on.
+HELD = 65_536
 
 
 class TaskPlan:
@@ -57,16 +62,38 @@ def _fragment(df: DataFrame, plan: TaskPlan, key: Column, spread: Column | None)
     return plan.tasks_of(df, key).withColumn("_task", F.get("_tasks", which.cast("int"))).drop("_tasks")
 
 
+def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of an input task, those of one key and task reduced to one, or to a few if there are many keys."""
+
+    def reduced(parts: list[pa.Table]) -> pa.Table:
+        each = pa.concat_tables(parts).group_by(["hot_key", "_task"], use_threads=False).aggregate([("n", "sum"), ("a", "min"), ("z", "max")])
+        return pa.table({"hot_key": each["hot_key"], "_task": each["_task"], "n": each["n_sum"], "a": each["a_min"], "z": each["z_max"]})
+
+    held: list[pa.Table] = []
+    for b in batches:
+        held.append(reduced([pa.Table.from_batches([b])]))
+        if sum(t.num_rows for t in held) > HELD:
+            held = [reduced(held)]
+            if held[0].num_rows > HELD // 2:
+                yield from held.pop().to_batches()
+    if held:
+        yield from reduced(held).to_batches()
+
+
 def key_stats(df: DataFrame, key: str, ts: Column, plan: TaskPlan | None = None, spread: Column | None = None) -> DataFrame:
     """hot_key, n_rows, first_us and last_us of every non-null key, over all its rows.
 
-    Each task reduces its fragments, map side first, and the few partial results of a split key are merged. ts is in
+    Input tasks reduce their rows, what is left goes to the tasks of the plan, which reduce their fragments, and the few partial
+    results of a split key are merged. ts is in
     microseconds; null times count as rows and are in neither bound.
     """
     plan = plan or TaskPlan(df, key)
     rows = df.select(df[key].alias("hot_key"), ts.alias("_us"), *([] if spread is None else [spread.alias("_spread")])).where("hot_key is not null")
     routed = _fragment(rows, plan, F.col("hot_key"), None if spread is None else F.col("_spread"))
-    parts = routed.groupBy("hot_key", "_task").agg(F.count(F.lit(1)).alias("n"), F.min("_us").alias("a"), F.max("_us").alias("z"))
+    routed = routed.select("hot_key", "_task", F.lit(1).cast("long").alias("n"), F.col("_us").alias("a"), F.col("_us").alias("z"))
+    if isinstance(routed.schema["hot_key"].dataType, AtomicType):  # Arrow groups by no others
+        routed = routed.mapInArrow(_partials, routed.schema)
+    parts = routed.repartitionById(plan.tasks, F.col("_task")).groupBy("hot_key", "_task").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("z").alias("z"))
     return parts.groupBy("hot_key").agg(F.sum("n").alias("n_rows"), F.min("a").alias("first_us"), F.max("z").alias("last_us"))
 
 
