@@ -1,7 +1,8 @@
 """Cutting texts that are larger than a limit, at natural boundaries, with overlap, by their content.
 
 A rolling hash over the last bytes marks landmarks. From each cut, the first landmark after the minimum size is taken and moved to the nearest
-natural boundary: the end of a paragraph or heading, else of a sentence or line, else a word's end. What a cut depends on
+natural boundary: before a heading, else the end of a paragraph, else of a sentence or line, else a word's end. A heading isn't parted
+from what follows it while there is a word's end to cut at. What a cut depends on
 lies near it, so an edit alters the pieces around it while later cuts find the same landmarks again. Where a stretch
 has no blanks at all, punctuation and at last single characters are cut between.
 
@@ -26,7 +27,9 @@ WINDOW_BYTES = 32
 LANDMARK_EVERY = 64
 #: Tokens by which an overlap may be longer so as to begin at a word.
 SLACK = 16
-PARAGRAPH, SENTENCE, WORD, MARK, ANY = 4, 3, 2, 1, 0
+#: Most characters of a heading.
+HEADING_CHARS = 100
+HEADING, PARAGRAPH, SENTENCE, WORD, MARK, ANY = 5, 4, 3, 2, 1, 0
 SCHEMA = "doc_id long, piece_no int, char_start int, own_start int, char_end int, n_tokens int, piece_text string"
 # fixed values: ends of sentences in several scripts, and closing marks that may follow them
 _ENDS = [ord(c) for c in ".!?…。！？｡"]
@@ -61,6 +64,30 @@ def _kinds() -> np.ndarray:
 _KINDS = _kinds()
 
 
+def _headings(points: np.ndarray, kind: np.ndarray, at: np.ndarray, till: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the blank runs at..till: those before headings, those between two, and those after.
+
+    A heading is a short line without an end mark that stands by itself, or at the head of a longer line after a blank line, or a line
+    that begins with # and a blank. Of several in a row only the first has a cut before it.
+    """
+    n = len(points)
+    run = np.flatnonzero(breaks > 0)
+    first = int(np.argmax(kind != _BLANK))
+    start, end = np.concatenate([[first], till[run]]), np.append(at[run], n)
+    length = end - start  # 0 for what follows the last run, if it ends the text
+    ahead, behind = np.concatenate([[2], breaks[run]]), np.append(breaks[run], 0)
+    close = np.maximum(end - 1, 0)
+    last = kind[close]
+    ended = (last & _END > 0) | ((last & _CLOSE > 0) & (kind[np.maximum(end - 2, 0)] & _END > 0)) | ((last & _PAUSE > 0) & (last & _CLOSE == 0))
+    following = np.append(length[1:], 0)
+    plain = (ahead > 1) & ((behind > 1) | (following > length)) & ~ended
+    s = np.minimum(start, n - 1)
+    hashed = (points[s] == 35) & ((kind[np.minimum(s + 1, n - 1)] == _BLANK) | (points[np.minimum(s + 1, n - 1)] == 35))
+    head = (length > 0) & (length <= HEADING_CHARS) & (following > 0) & (plain | hashed)
+    before, after = head[1:], head[:-1]
+    return run[before & ~after], run[before & after], run[after & ~before]
+
+
 def boundaries(points: np.ndarray) -> np.ndarray:
     """The rank of a cut before each character (and after the last), from its code points."""
     n = len(points)
@@ -78,6 +105,8 @@ def boundaries(points: np.ndarray) -> np.ndarray:
     last = kind[at - 1]
     closed = (last & _CLOSE > 0) & (at > 1) & (kind[np.maximum(at - 2, 0)] & _END > 0)
     rank[at] = np.where(breaks > 1, PARAGRAPH, np.where((last & _END > 0) | closed | (breaks == 1), SENTENCE, WORD))
+    before, between, behind = _headings(points, kind, at, till, breaks)
+    rank[at[before]], rank[at[between]], rank[at[behind]] = HEADING, SENTENCE, MARK
     # without blanks: after a mark that a letter or digit follows
     pause = np.flatnonzero(kind[:-1] & _PAUSE)
     inner = pause[kind[pause + 1] == 0] + 1
@@ -89,7 +118,7 @@ def _snap(rank: np.ndarray, low: int, high: int, want: int) -> int:
     """The boundary in low..high nearest to want: a better kind may lie further off."""
     room = max(1, high - low)
     kinds = rank[low : high + 1]
-    for kind, near in ((PARAGRAPH, room), (SENTENCE, room // 2), (WORD, room), (MARK, room)):
+    for kind, near in ((HEADING, room), (PARAGRAPH, room), (SENTENCE, room // 2), (WORD, room), (MARK, room)):
         at = np.flatnonzero(kinds >= kind) + low
         if len(at):
             best = int(at[np.abs(at - want).argmin()])
