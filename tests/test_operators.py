@@ -171,7 +171,7 @@ def test_late_counts(spark):
     assert rows(late.read_counts(late.merge_states(parts[1], states, parts[0], parts[1]))) == got
     assert rows(late.read_counts(late.source_states(events(spark, data), sources=1))) == got
     assert late.read_counts(late.merge_states(late.source_states(events(spark, [])))).count() == 0
-    ten = late.read_counts(late.source_states(events(spark, [("a", 0, 14 * MIN), ("a", 0, 16 * MIN), ("a", 0, 19 * MIN)]), 10 * MIN, 5 * MIN), 10 * MIN, 5 * MIN)
+    ten = late.read_counts(late.source_states(events(spark, [("a", 0, 14 * MIN), ("a", 0, 16 * MIN), ("a", 0, 19 * MIN)]), 10 * MIN, 5 * MIN))
     assert rows(ten) == [("a", 0, 0, 1, 1, 2)]
 
 

@@ -24,8 +24,11 @@ def micros_to_bytes(us: Column) -> Column:
 
 
 def rfc3339(us: Column) -> Column:
-    """UTC time of microseconds to the second, as yyyy-MM-ddTHH:mm:ssZ. The session's zone must be UTC."""
-    return F.date_format(F.timestamp_micros(us), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """UTC time of microseconds to the second, as yyyy-MM-ddTHH:mm:ssZ, whatever the session's zone."""
+    inside = F.pmod(us, F.lit(86_400_000_000))
+    day = F.date_from_unix_date(((us - inside) / 86_400_000_000).cast("int")).cast("string")
+    two = lambda step, of: F.lpad(F.pmod((inside / step).cast("int"), F.lit(of)).cast("string"), 2, "0")
+    return F.concat(day, F.lit("T"), two(3_600_000_000, 24), F.lit(":"), two(60_000_000, 60), F.lit(":"), two(1_000_000, 60), F.lit("Z"))
 
 
 def frames(text: Column, delimiter: str) -> Column:

@@ -1,8 +1,9 @@
 """Messages delivered more than once: exactly one copy of each comes out.
 
 A message is identified by its producer and the number the producer gave it. Per producer the numbers seen
-so far are kept as disjoint ranges: an uncovered number is accepted once and its range merged in. Identifiers
-without a number of up to 18 digits are looked up exactly, by producer and spelling.
+so far are kept as disjoint ranges: an uncovered number is accepted once and its range merged in. A number of more than 18 digits
+has its ranges by its last 18 digits, among the numbers of its producer that begin alike. Identifiers that are no numbers are looked up exactly, by
+producer and spelling.
 
 How it runs: every Arrow batch of a map task first marks the copies it can see itself, so a message that makes
 up a third of all rows sends one row per batch to its range task and its other copies are dealt out evenly. Rows
@@ -24,6 +25,8 @@ from pyspark.sql import types as T
 from weirflow.functions.numbers import canonical_decimal
 from weirflow.runtime import cut
 
+#: Digits of a number that ranges are made of; those before them go with the producer.
+DIGITS = 18
 BLOCK_BITS = 16
 BLOCK = 1 << BLOCK_BITS
 _FIRST, _LAST = -(2**63), 2**63 - 1
@@ -125,7 +128,7 @@ def _accept_uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         producer, block, spelling = open_group
         if block is None:
             return [(producer, None, None, spelling)] if spelled else []
-        return [(producer, int(a), int(b), None) for a, b in zip(seen.lo + block * BLOCK, seen.hi + block * BLOCK)]
+        return [(producer, int(a), int(b), spelling) for a, b in zip(seen.lo + block * BLOCK, seen.hi + block * BLOCK)]
 
     for batch in batches:
         row_type = batch.schema.field("row").type
@@ -174,10 +177,10 @@ def _accept_uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             done, stay = line < last, line == last
             out = []
             if done.any():
-                names = batch["p"].take(pa.array(heads[line[done]])).to_pylist()
+                names, beginnings = (batch[c].take(pa.array(heads[line[done]])).to_pylist() for c in ("p", "x"))
                 shift = block[heads[line[done]]] * BLOCK - line[done] * (2 * BLOCK)
-                out += zip(names, (seen.lo[done] + shift).tolist(), (seen.hi[done] + shift).tolist(), [None] * len(names))
-            closed = heads[:-1][spelling[heads[:-1]] >= 0]
+                out += zip(names, (seen.lo[done] + shift).tolist(), (seen.hi[done] + shift).tolist(), beginnings)
+            closed = heads[:-1][number[heads[:-1]] < 0]
             if len(closed):
                 out += zip(batch["p"].take(pa.array(closed)).to_pylist(), [None] * len(closed), [None] * len(closed), batch["x"].take(pa.array(closed)).to_pylist())
             if out:
@@ -195,15 +198,16 @@ def _accept_uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _run(df: DataFrame, producer: str, sequence: str, order: str, keep: list[str] | None, seen: DataFrame | None) -> DataFrame:
-    digits = canonical_decimal(F.col("x"))
-    small = F.length(digits) <= 18
     rows = df.select(
         F.struct(*[df[c] for c in (df.columns if keep is None else keep)]).alias("row"),
         df[producer].cast("string").alias("p"),
         df[sequence].cast("string").alias("x"),
         df[order].cast("long").alias("o"),
     )
-    rows = rows.withColumn("n", F.when(small, digits.cast("long"))).withColumn("x", F.when(F.col("n").isNull(), F.coalesce(digits, F.trim("x"))))
+    rows = rows.withColumn("d", canonical_decimal(F.col("x"))).withColumn("n", F.substring("d", -DIGITS, DIGITS).cast("long"))
+    # beside a number x is how it begins, if it has more digits, else it is the spelling
+    beginning = F.when(F.length("d") > DIGITS, F.substring(F.col("d"), F.lit(1), F.length("d") - DIGITS))
+    rows = rows.withColumn("x", F.when(F.col("n").isNull(), F.trim("x")).otherwise(beginning)).drop("d")
     schema = T.StructType([*rows.schema.fields, T.StructField("known", T.BooleanType())])
     rows = rows.mapInArrow(_mark_local_copies, schema)
     rows = rows.withColumn("hi", F.lit(None).cast("long")).withColumn("s", F.lit(False))
@@ -232,8 +236,8 @@ def mark_repeats(df: DataFrame, producer: str, sequence: str, order: str, keep:
     """Every row of df with `is_repeat`: false for the copy of each message that is to be kept.
 
     The copy kept is the one lowest in `order` (null orders come last; of equal orders any one is kept). Numbers
-    are compared as numbers, whatever white space, plus sign or zeros they are spelled with; what is no whole
-    number, or has more than 18 digits, is compared by its trimmed spelling or its digits. Rows whose producer or
+    are compared as numbers of any length, whatever white space, plus sign or zeros they are spelled with; what is no whole
+    number is compared by its trimmed spelling. Rows whose producer or
     sequence is null have no identity and are never repeats. `seen` holds ranges of earlier runs
     (see new_ranges). `keep` names the columns to come out (all by default), in a struct `row` so that any name may
     be used. An empty df gives no rows.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ def build_session(app: str = "weirflow", cores: int | str = "*", **conf: str) ->
             "spark.sql.streaming.stateStore.providerClass",
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         )
+        .config("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
     for key, value in conf.items():
@@ -49,9 +53,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def filesystem(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def scratch(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/weirflow/{purpose}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder. What a query leaves there is removed when the driver's JVM ends."""
+    named = f"{shared_dir(spark)}/weirflow/{purpose}-{uuid.uuid4().hex}"
+    fs, at = filesystem(spark, named)
+    # a folder that isn't there yet can't be marked, so it is made first
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{named}/at"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -60,29 +75,65 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The planner's estimate of a DataFrame's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+@contextmanager
+def session_conf(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Settings (dots written as __) that hold inside the block only."""
+    named = {k.replace("__", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in named}
+    try:
+        for k, v in named.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+#: What the planner gives for an input whose size it can't know.
+_UNKNOWN = 1 << 62
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of all files and tables a DataFrame is made from, added up, as the planner knows them; None if one of them is unknown."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return None if any(s >= _UNKNOWN for s in sizes) else sum(sizes)
+
+
+def counted_bytes(df: DataFrame) -> int:
+    """Bytes of a DataFrame's values, by one pass over it that sends a number per task: strings and binaries by length, others as 8 each."""
+    long = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    each = F.lit(8 * (len(df.columns) - len(long)))
+    for name in long:
+        each = each + F.coalesce(F.octet_length(df[name]), F.lit(0))
+    return df.agg(F.sum(each)).first()[0] or 0
 
 
-def partitions_for(df: DataFrame, bytes_each: int, inflation: float = 3.0) -> int:
-    """How many partitions keep each near bytes_each, at least spark.sql.shuffle.partitions.
+def partitions_for(bytes_each: int, *inputs: DataFrame, inflation: float = 3.0) -> int:
+    """How many partitions keep each near bytes_each of these inputs, at least spark.sql.shuffle.partitions.
 
-    inflation is how much larger rows are in memory than in a column file. Where the planner doesn't know a size (it then
-    takes it for over a petabyte), it is spark.sql.shuffle.partitions.
+    inflation is how much larger rows are in memory than in a column file. An input of unknown size is counted.
     """
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if plan_bytes(df) > 1 << 50:
-        return least
-    return max(least, min(100_000, int(plan_bytes(df) * inflation // bytes_each) + 1))
+    size = 0
+    for df in inputs:
+        known = input_bytes(df)
+        size += counted_bytes(df) if known is None else int(known * inflation)
+    return max(int(inputs[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), size // bytes_each + 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. Its timestamps carry no zone and mean UTC, so the session's zone is set to it."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table. Its timestamps carry no zone and mean UTC; they come out as instants, whatever the session's zone."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+    if not plain:
+        return df
+    with session_conf(spark, spark__sql__session__timeZone="UTC"):  # a cast takes the zone that holds when it is made
+        return df.withColumns({c: F.col(c).cast("timestamp") for c in plain})
 
 
 def micros(column: Column | str) -> Column:
-    """Microseconds since 1970-01-01 UTC of a timestamp with or without a zone."""
+    """Microseconds since 1970-01-01 UTC of a timestamp. One without a zone counts in the session's zone."""
     return F.unix_micros((F.col(column) if isinstance(column, str) else column).cast("timestamp"))
