@@ -90,8 +90,10 @@ def test_job_from_http_to_http(spark, service, tmp_path):
         q = job.start(spark, checkpoint=str(tmp_path / "c"), once=False)
         q.processAllAvailable()
         saved = job.create_savepoint(str(tmp_path / "saved"))
+        assert q.isActive
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+        job.query.stop()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
     assert sorted(int.from_bytes(base64.b64decode(x), "big") for x in topics["sums"]) == [1, 2, 4]
     assert saved.startswith(str(tmp_path / "saved"))
 
@@ -208,17 +210,17 @@ def test_config(monkeypatch):
     monkeypatch.setenv("WEIRFLOW_PARAM_N", "3")
     assert config.load(json.dumps(doc), {"ARN": ARN}).worker_count == 3
     monkeypatch.setenv("WEIRFLOW_PARAM_N", "")
-    with pytest.raises(config.ConfigError, match='parameter "N" not found'):
+    with pytest.raises(config.ConfigError, match='no value .* parameter "N"'):
         config.load(json.dumps(doc), {"ARN": ARN})
-    with pytest.raises(config.ConfigError, match="not a valid int32"):
+    with pytest.raises(config.ConfigError, match="whole number"):
         config.load(json.dumps(doc), {"ARN": ARN, "N": "many"})
-    with pytest.raises(config.ConfigError, match="unknown type"):
+    with pytest.raises(config.ConfigError, match="no connector"):
         config.load(json.dumps({"sources": [{"ftp": {}}]}))
     with pytest.raises(config.ConfigError, match="one source.*one sink"):
         config.load(json.dumps({}))
     with pytest.raises(config.ConfigError, match="name of a stream.*HTTP address"):
         config.load(json.dumps({"sources": [{"kinesis": {"streamArn": "x"}}], "sinks": [{"httpApi": {"addr": "x"}}]}))
-    with pytest.raises(config.ConfigError, match="format"):
+    with pytest.raises(config.ConfigError, match="no JSON"):
         config.load("{")
     with pytest.raises(ValueError, match="brokers"):
         kafka.options([], ["t"], "g")

@@ -18,6 +18,18 @@ def _handler(name: str) -> Handler:
     return getattr(importlib.import_module(module), cls)()
 
 
+def _state(entries: dict) -> dict:
+    """A value by namespace, or values by key of entry, in base64."""
+    text = lambda b: base64.b64encode(b).decode()
+    out: dict = {}
+    for (name, key), value in sorted(entries.items()):
+        if key:
+            out.setdefault(name, {})[text(key)] = text(value)
+        else:
+            out[name] = text(value)
+    return out
+
+
 def testrun(handler: Handler, lines, out) -> None:
     """Commands are JSON lines: {"event": {"key", "ts_us", "value" (base64)}}, {"watermark": true}, {"run": true}. Prints what was sent and each key's state."""
     steps = TestRun(handler)
@@ -33,13 +45,13 @@ def testrun(handler: Handler, lines, out) -> None:
             for s in done.sent:
                 out.write(json.dumps({"sent": base64.b64encode(s).decode()}) + "\n")
             for key in sorted(done.state):
-                out.write(json.dumps({"key": key, "state": {n: base64.b64encode(v).decode() for n, v in done.state[key].items()}}) + "\n")
+                out.write(json.dumps({"key": key, "state": _state(done.state[key])}) + "\n")
             return
     raise SystemExit("the input ended before the run command")
 
 
 def main(argv: list[str] | None = None) -> None:
-    p = argparse.ArgumentParser(prog="weirflow", description="Aggregate information from streams of events")
+    p = argparse.ArgumentParser(prog="weirflow", description="Keyed jobs over event streams on Spark")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("version")
     run = sub.add_parser("run", help="run a job")
@@ -50,6 +62,9 @@ def main(argv: list[str] | None = None) -> None:
     run.add_argument("--from-savepoint")
     run.add_argument("--savepoint-to", help="make a savepoint in this folder at the end")
     run.add_argument("--follow", action="store_true", help="go on when the input is read")
+    save = sub.add_parser("savepoint", help="copy the state of a job, running or not")
+    save.add_argument("checkpoint", help="the folder the job was started with")
+    save.add_argument("folder", help="where savepoints go")
     test = sub.add_parser("testrun", help="feed a handler from standard input")
     test.add_argument("--handler", required=True)
     a = p.parse_args(argv)
@@ -57,6 +72,11 @@ def main(argv: list[str] | None = None) -> None:
         print(f"weirflow {weirflow.__version__}")
     elif a.command == "testrun":
         testrun(_handler(a.handler), sys.stdin, sys.stdout)
+    elif a.command == "savepoint":
+        from weirflow.runtime import build_session
+        from weirflow.streaming import savepoint
+
+        print(savepoint.save(build_session(cores=1), a.checkpoint, a.folder))
     else:
         from weirflow.runtime import build_session
         from weirflow.streaming.job import Job

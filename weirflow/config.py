@@ -19,7 +19,7 @@ from weirflow.sources.kafka import options as kafka_options
 from weirflow.sources.kinesis import check_arn
 
 PREFIX = "WEIRFLOW_PARAM_"
-_KINDS = {"kinesis": "kinesis", "httpApi": "httpapi", "embedded": "embedded", "stdio": "stdio", "kafka": "kafka", "memory": "memory"}
+_KINDS = {"kinesis": "kinesis", "httpApi": "httpapi", "embedded": "embedded", "stdio": "stdio", "kafka": "kafka", "memory": "memory", "parquet": "parquet"}
 
 
 class ConfigError(ValueError):
@@ -46,7 +46,7 @@ class JobConfig:
 def lookup(name: str, params: dict[str, str]) -> str:
     value = params[name] if name in params else os.environ.get(PREFIX + name, "")
     if value == "" and name not in params:
-        raise ConfigError(f'parameter "{name}" not found')
+        raise ConfigError(f'no value is given for parameter "{name}"')
     return value
 
 
@@ -69,16 +69,16 @@ def _number(value, name: str, default: int) -> int:
     try:
         n = int(value)
     except (TypeError, ValueError):
-        raise ConfigError(f"{name}: {value!r} is not a valid int32") from None
+        raise ConfigError(f"{name} must be a whole number, not {value!r}") from None
     if not -(2**31) <= n < 2**31:
-        raise ConfigError(f"{name}: {value!r} is not a valid int32")
+        raise ConfigError(f"{name} must fit 32 bits: {value!r}")
     return n
 
 
 def _connector(doc: dict) -> Connector:
     kinds = [k for k in doc if k in _KINDS]
     if len(kinds) != 1:
-        raise ConfigError(f"unknown type of connector: {sorted(doc)}")
+        raise ConfigError(f"no connector this version knows: {sorted(doc)}")
     return Connector(_KINDS[kinds[0]], doc.get("id", ""), doc[kinds[0]] or {})
 
 
@@ -95,7 +95,7 @@ def _check(c: Connector, what: str, errors: list[str]) -> None:
             kafka_options(o.get("brokers", []), o.get("topics", []), o.get("consumerGroup", ""))
         elif c.kind == "stdio" and what == "source" and not o.get("delimiter", "\n"):
             raise ValueError("the delimiter has at least one byte")
-        elif (c.kind in ("kinesis", "embedded")) and what == "sink" or c.kind == "memory" and what == "source":
+        elif (c.kind in ("kinesis", "embedded")) and what == "sink" or c.kind in ("memory", "parquet") and what == "source":
             raise ValueError(f"{c.kind} is no {what}")
     except ValueError as e:
         errors.append(f"{what} {c.id or c.kind}: {e}")
@@ -106,7 +106,7 @@ def load(text: str, params: dict[str, str] | None = None) -> JobConfig:
     try:
         doc = json.loads(text)
     except ValueError as e:
-        raise ConfigError(f"invalid format of the configuration: {e}") from None
+        raise ConfigError(f"the configuration is no JSON document: {e}") from None
     doc = resolve(doc, params or {})
     sources, sinks = [_connector(s) for s in doc.get("sources", [])], [_connector(s) for s in doc.get("sinks", [])]
     errors = [f"exactly one {w}, not {len(x)}" for w, x in (("source", sources), ("sink", sinks)) if len(x) != 1]

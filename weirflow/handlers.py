@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta, timezone
 
-from weirflow.model import Handler, JsonCodec, KeyedEvent, LongCodec
+from weirflow.model import Handler, JsonCodec, KeyedEvent, LongCodec, int_key, key_int
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 MS, SECOND, MINUTE, HOUR = 1_000, 1_000_000, 60_000_000, 3_600_000_000
@@ -59,9 +59,12 @@ class RunningCount(Handler):
 
 
 class CountWindow(Handler):
-    """Events of a user per right-closed window; records are {"UserID", "Timestamp"}. Empty windows whose timer was set are sent too."""
+    """Events of a user per right-closed window; records are {"UserID", "Timestamp"}. Empty windows whose timer was set are sent too.
 
-    state = {"timestamps": JsonCodec()}
+    An entry holds the number of events up to and with one window's end, after the window before.
+    """
+
+    state = {"windows": LongCodec()}
 
     def __init__(self, size_us: int = 2 * MS) -> None:
         self.size = size_us
@@ -71,24 +74,27 @@ class CountWindow(Handler):
         return [KeyedEvent(r["UserID"], parse_time(r["Timestamp"]), raw)]
 
     def on_event(self, subject, event):
-        subject.put("timestamps", [*subject.get("timestamps", []), event.ts_us])
+        end = int_key(event.ts_us + -event.ts_us % self.size)
+        subject.put("windows", end, subject.entry("windows", end, 0) + 1)
         subject.set_timer(event.ts_us - event.ts_us % self.size + self.size)
 
     def on_timer(self, subject, ts_us):
-        held = subject.get("timestamps")
-        if held is None:
-            return
-        subject.put("timestamps", [t for t in held if t > ts_us])
-        subject.send(json.dumps({"UserID": subject.key, "Count": sum(t <= ts_us for t in held)}, separators=(",", ":")))
+        due = [(k, n) for k, n in subject.entries("windows") if key_int(k) <= ts_us]
+        for k, _ in due:
+            subject.delete("windows", k)
+        subject.send(self.count(subject.key, ts_us, sum(n for _, n in due)))
+
+    def count(self, key: str, ts_us: int, n: int) -> str:
+        return json.dumps({"UserID": key, "Count": n}, separators=(",", ":"))
 
 
 class SlidingWindow(Handler):
-    """Events of a key in the hour before each minute; records are {"key", "timestamp"}.
+    """Events of a key in the hour before each minute; records are {"key", "timestamp"}. An entry holds the number of events in a minute.
 
     Without new events a key's windows go on at the minute after the watermark, so minutes the watermark jumps over are skipped.
     """
 
-    state = {"window-state": JsonCodec()}
+    state = {"window-state": LongCodec()}
 
     def key_events(self, raw):
         r = json.loads(raw)
@@ -96,20 +102,19 @@ class SlidingWindow(Handler):
 
     def on_event(self, subject, event):
         minute = event.ts_us - event.ts_us % MINUTE
-        counts = subject.get("window-state", {})
-        counts[str(minute)] = counts.get(str(minute), 0) + 1
-        subject.put("window-state", counts)
+        subject.put("window-state", int_key(minute), subject.entry("window-state", int_key(minute), 0) + 1)
         subject.set_timer(minute + MINUTE)
 
     def on_timer(self, subject, ts_us):
-        counts = subject.get("window-state")
-        if counts is None:
-            return
         end = ts_us - ts_us % MINUTE
-        kept = {m: n for m, n in counts.items() if int(m) >= end - HOUR}
-        subject.put("window-state", kept)
+        kept = []
+        for k, n in subject.entries("window-state"):
+            if key_int(k) >= end - HOUR:
+                kept.append((key_int(k), n))
+            else:
+                subject.delete("window-state", k)
         if kept:
-            total = sum(n for m, n in kept.items() if int(m) < end)
+            total = sum(n for m, n in kept if m < end)
             subject.send(json.dumps({"key": subject.key, "sum": total, "interval": f"{format_time(end - HOUR)}/{format_time(end)}"}, separators=(",", ":")))
             subject.set_timer((subject.watermark_us + MINUTE) // MINUTE * MINUTE)
 

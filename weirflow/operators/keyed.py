@@ -18,19 +18,20 @@ def key_events(raw: DataFrame, *keyed: Column, where: Column | None = None) -> D
     return rows.select(F.explode(F.array_compact(F.array(*keyed))).alias("e")).select("e.*")
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], block: Column, out: dict[str, Column], carry: dict[str, str]) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], block: Column, out: dict[str, Column], carry: dict[str, str], before: bool = False) -> DataFrame:
     """df with running aggregates, in `order` within `keys`, without putting a whole key into one task.
 
     `block` is a non-decreasing function of the order, such as the hour of a time. Rows are ordered only inside (keys, block); what
     comes before a block is the running aggregate of block totals. `out` maps a new column to the value it runs over
-    and `carry` to "sum" or "max". Null values are skipped; nothing before a row gives its own value.
+    and `carry` to "sum" or "max". Null values are skipped; nothing before a row gives its own value. With `before` a row's own value doesn't count yet, and
+    nothing before a row gives null, or 0 for a sum.
     """
     fold = {"sum": F.sum, "max": F.max}
     rows = df.withColumn("_block", block)
     totals = rows.groupBy(*keys, "_block").agg(*[fold[carry[c]](v).alias(f"_t_{c}") for c, v in out.items()])
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_block", *[fold[carry[c]](f"_t_{c}").over(before).alias(f"_o_{c}") for c in out])
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_block", *[fold[carry[c]](f"_t_{c}").over(earlier).alias(f"_o_{c}") for c in out])
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     match = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in [*keys, "_block"]]
     joined = rows.alias("_l").join(offsets.alias("_r"), match, "left").select("_l.*", *[f"_o_{c}" for c in out])
     merged = {c: F.coalesce(fold[carry[c]](v).over(inside), F.lit(0)) + F.coalesce(f"_o_{c}", F.lit(0)) if carry[c] == "sum" else F.greatest(F.max(v).over(inside), F.col(f"_o_{c}")) for c, v in out.items()}
@@ -121,3 +122,13 @@ def available_splits(splits: DataFrame, split: str, parents: str, assigned: Data
     waiting = splits.select(split, F.explode(parents).alias("_p")).join(known, F.col("_p") == F.col("_known"), "left_semi").select(split)
     free = splits.join(waiting, split, "left_anti")
     return free if assigned is None else free.join(assigned, split, "left_anti")
+
+
+def set_added(column: Column, *values: Column) -> Column:
+    """A set (an array without repeats) with more values; those it has stay where they are."""
+    return F.array_union(column, F.array(*values))
+
+
+def set_without(column: Column, *values: Column) -> Column:
+    """A set with values taken out, in its own order."""
+    return F.array_except(column, F.array(*values))

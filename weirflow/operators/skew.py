@@ -114,4 +114,5 @@ def skew_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     replicas = plan.tasks_of(matching, F.col("_rk")).withColumn("_at", F.explode(F.array_distinct("_tasks"))).drop("_tasks")
     fragments = fragments.repartitionById(plan.tasks, F.col("_task"))
     replicas = replicas.repartitionById(plan.tasks, F.col("_at"))
-    return fragments.join(replicas, (F.col("_task") == F.col("_at")) & (F.col("_lk") == F.col("_rk")), how).select("l", "r")
+    # sizes are known to be right for a merge; a broadcast chosen at run time would make both shuffles useless
+    return fragments.hint("merge").join(replicas, (F.col("_task") == F.col("_at")) & (F.col("_lk") == F.col("_rk")), how).select("l", "r")

@@ -274,9 +274,11 @@ def state_entries_by_namespace(spark, d):
     return state_key_layout(spark, d).groupBy("operator_id", "subject", "namespace").agg(F.count(F.lit(1)).alias("n_entries"))
 
 
-@query("select shard_id from shards except select shard_id from shard_states where checkpoint_id <= 20")
+@query("select distinct shard_id from shards where shard_id not in (select shard_id from shard_states where is_finished and shard_id is not null)")
 def split_difference(spark, d):
-    return table(spark, d, "shards").select("shard_id").exceptAll(table(spark, d, "shard_states").where("checkpoint_id <= 20").select("shard_id").distinct())
+    """Shards less those that are finished."""
+    finished = table(spark, d, "shard_states").where("is_finished").select("shard_id")
+    return table(spark, d, "shards").select("shard_id").subtract(finished)
 
 
 @query("select 'kafka' log, topic_name || ':' || split_partition split_id, epoch_us(record_ts) us from kafka_records union all select 'kinesis', shard_id, epoch_us(approximate_arrival_timestamp) from kinesis_records")
@@ -286,9 +288,104 @@ def merge_sorted(spark, d):
     return kafka.unionByName(kinesis).orderBy("us", "log", "split_id")
 
 
-@query()
+def _murmur3_sql(source: str, column: str) -> str:
+    """Common table expressions that end in hashed(text, h): MurmurHash3 x86_32 of the UTF-8 bytes of each text in `column` of `source`, block by block."""
+    turn = lambda x, r: f"((({x}) << {r}) & 4294967295) | (({x}) >> {32 - r})"
+    times = lambda x, c: f"(({x})::hugeint * {c} % 4294967296)::bigint"
+    k1 = times(turn(times("w", 3432918353), 15), 461845907)
+    mixed = f"({times(turn(f'xor(h, {k1})', 13), 5)} + 3864292196) % 4294967296"
+    return f"""recursive texts as (select distinct {column} as text, hex(encode({column})) x from {source} where {column} is not null),
+    blocks as (select text, length(x) // 2 n, i, ('0x' || rpad(x[8 * i + 7 : 8 * i + 8], 2, '0') || rpad(x[8 * i + 5 : 8 * i + 6], 2, '0') || rpad(x[8 * i + 3 : 8 * i + 4], 2, '0') || rpad(x[8 * i + 1 : 8 * i + 2], 2, '0'))::bigint w
+        from (select text, x, unnest(generate_series(0, length(x) // 8)) i from texts)),
+    steps as (
+        select text, n, -1::bigint i, 0::bigint h from blocks where i = 0
+        union all
+        select b.text, b.n, b.i, case when 4 * b.i + 4 <= b.n then {mixed} when 4 * b.i < b.n then xor(h, {k1}) else h end from steps s join blocks b on b.text = s.text and b.i = s.i + 1
+    ),
+    f0 as (select text, xor(arg_max(h, i), any_value(n)) h from steps group by text), f1 as (select text, {times("xor(h, h >> 16)", 2246822507)} h from f0),
+    f2 as (select text, {times("xor(h, h >> 13)", 3266489909)} h from f1), hashed as (select text, xor(h, h >> 16) h from f2)"""
+
+
+_USERS = _murmur3_sql("(select user_id::varchar k from events)", "k")
+_PLACED = f"with {_USERS}, placed as (select text, (h % 256)::integer key_group from hashed)"
+_OPERATOR = "(case when key_group < 148 then key_group // 37 else 4 + (key_group - 148) // 36 end)::integer"
+
+
+@query(_PLACED + f" select key_group, {_OPERATOR} operator_no, count(distinct text) n_keys, count(*) n_events from placed join events on user_id::varchar = text group by all")
 def key_group_placement(spark, d):
-    """Keys and events of each key group and operator; SQL has no such hash, tests hold it against published hash values."""
+    """Keys and events of each key group and operator."""
     keys = events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"))
     placed = keys.withColumn("key_group", hashing.key_group(F.col("user_id").cast("string")))
     return placed.groupBy("key_group").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n_events").alias("n_events")).withColumn("operator_no", hashing.range_index(F.col("key_group"), 256, 7))
+
+
+@query(f"with {_murmur3_sql('sliding_events', 'event_key')} select text as event_key, h as hash from hashed")
+def key_hashes(spark, d):
+    """The hash of every event key."""
+    keys = table(spark, d, "sliding_events").where("event_key is not null").select("event_key").distinct()
+    return keys.select("event_key", hashing.murmur3(F.col("event_key")).alias("hash"))
+
+
+@query(_PLACED + " select user_id, event_id from placed join events on user_id::varchar = text where key_group between 37 and 110")
+def owned_events(spark, d):
+    """Events of the keys that the operator with groups 37 to 110 owns."""
+    return events(spark, d).where(hashing.owned(F.col("user_id").cast("string"), 37, 111)).select("user_id", "event_id")
+
+
+@query(_PLACED + f""", t as (select distinct user_id, ts_us // {DAY} * {DAY} + {DAY} us from ({_E.removeprefix("with e as ").strip()}))
+    select user_id, us timer_us, lpad(upper(to_hex(key_group)), 4, '0') || '01' || lpad(upper(to_hex(us * 1000)), 16, '0') || hex(encode(user_id::varchar)) key_hex from t join placed on user_id::varchar = text""")
+def timer_key_layout(spark, d):
+    """Stored keys of daily timers: their byte order is time order inside a key group."""
+    subject = F.col("user_id").cast("string")
+    key = codecs.timer_key(hashing.key_group(subject), F.col("timer_us"), subject)
+    return coalesced_timers(spark, d).select("user_id", "timer_us", F.hex(key).alias("key_hex"))
+
+
+@query(_PLACED + """, s as (select distinct user_id, event_type from events) select user_id, event_type, lpad(upper(to_hex(key_group)), 4, '0') || '00' || lpad(upper(to_hex(length(user_id::varchar))), 8, '0') || hex(encode(user_id::varchar))
+    || '04' || hex(encode('type')) || hex(encode(event_type)) key_hex from s join placed on user_id::varchar = text""")
+def state_key_encoding(spark, d):
+    """Stored keys of a state entry for each user and type of event."""
+    entries, subject = events(spark, d).select("user_id", "event_type").distinct(), F.col("user_id").cast("string")
+    key = codecs.state_key(hashing.key_group(subject), subject, F.lit("type"), F.col("event_type"))
+    return entries.select("user_id", "event_type", F.hex(key).alias("key_hex"))
+
+
+@query(_E + f"""select event_id, min(m) watermark_us from (
+    select a.event_id, u.u, (select max(ts_us) from e where event_id % 4 = u.u and event_id <= a.event_id) - 1 m from (select event_id from e where event_id % 97 = 0) a, (values (0), (1), (2), (3)) u(u)) group by event_id having count(m) = 4""")
+def composite_watermark(spark, d):
+    """The watermark over four upstreams at every 97th event: the least of what each of them has reached, once all have begun. The step is the interval of ticks."""
+    e = events(spark, d).withColumn("one", F.lit(0))
+    reach = {f"u{k}": F.when(F.pmod("event_id", F.lit(4)) == k, F.col("ts_us")) for k in range(4)}
+    seen = keyed.running(e, ["one"], ["event_id"], F.expr("event_id div 1000"), reach, dict.fromkeys(reach, "max"))
+    ticks = seen.where("event_id % 97 = 0 and u0 is not null and u1 is not null and u2 is not null and u3 is not null")
+    return ticks.select("event_id", (F.least(*reach) - 1).alias("watermark_us"))
+
+
+@query(_E + f"select event_id, timer_us from (select event_id, ts_us // {HOUR} * {HOUR} + {HOUR} timer_us, max(ts_us) over (order by {_ARRIVAL}, event_id rows between unbounded preceding and 1 preceding) - 1 mark from e) where mark is null or timer_us > mark")
+def guarded_timers(spark, d):
+    """Timers that events set, in a scrambled order of arrival: one that the watermark has reached already isn't set."""
+    e = events(spark, d).withColumn("arrival", F.expr(_ARRIVAL)).withColumn("stream", F.lit(0))
+    seen = keyed.running(e, ["stream"], ["arrival", "event_id"], F.expr("arrival div 1000"), {"reach": F.col("ts_us")}, {"reach": "max"}, before=True)
+    timed = seen.withColumn("timer_us", truncate(F.col("ts_us"), HOUR) + HOUR)
+    return timed.where("reach is null or timer_us > reach - 1").select("event_id", "timer_us")
+
+
+@query("select key_word, list_sort(list(distinct event_type)) kept from (select props k, event_type, 'k' || (event_id % 5) key_word from events where event_type not in ('error', 'view') union all select props, 'added', 'k' || (event_id % 5) from events) group by 1")
+def set_add_without(spark, d):
+    """Sets of types by key: with one added and two taken out."""
+    sets = table(spark, d, "events").groupBy(F.concat(F.lit("k"), F.pmod("event_id", F.lit(5)).cast("string")).alias("key_word")).agg(F.collect_set("event_type").alias("s"))
+    return sets.select("key_word", F.array_sort(keyed.set_without(keyed.set_added(F.col("s"), F.lit("added")), F.lit("error"), F.lit("view"))).alias("kept"))
+
+
+@query("select event_type, cast(sum(event_id) as bigint) reduced, count(*) n from events group by all")
+def reduce_by_key(spark, d):
+    """A fold over each type's events, in partial results first."""
+    return table(spark, d, "events").groupBy("event_type").agg(F.sum("event_id").alias("reduced"), F.count(F.lit(1)).alias("n"))
+
+
+@query(r"select doc_id, regexp_full_match(url, 'https?://[^/?#\s]+.*') valid from documents")
+def address_checks(spark, d):
+    """Which page addresses a source or sink would take: a scheme of HTTP and a host."""
+    from weirflow.sources.httpapi import is_address
+
+    return table(spark, d, "documents").select("doc_id", is_address(F.col("url")).alias("valid"))

@@ -11,7 +11,7 @@ from weirflow.sources.kinesis import KinesisSource
 
 #: Names a configuration may use for its source and its sink.
 SOURCES = ("kinesis", "httpapi", "embedded", "stdio", "kafka")
-SINKS = ("httpapi", "stdio", "kafka", "memory")
+SINKS = ("httpapi", "stdio", "kafka", "memory", "parquet")
 
 
 def register(spark: SparkSession) -> None:

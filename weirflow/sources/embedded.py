@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,7 @@ def _emit(piece: _Piece, splits: int) -> Iterator[tuple]:
 class _Options:
     def __init__(self, options: dict) -> None:
         self.splits, self.batch, self.reads = (int(options.get(k, v)) for k, v in (("splits", 1), ("batch", 1000), ("reads", 1)))
+        self.start = json.loads(options.get("startOffset", '{"given": 0}'))
         if min(self.splits, self.batch, self.reads) < 1:
             raise ValueError("splits, batch and reads are at least 1")
 
@@ -56,10 +58,10 @@ class _Stream(DataSourceStreamReader):
         self.o, self.given = o, None
 
     def initialOffset(self):
-        return {"given": 0}
+        return self.o.start
 
     def latestOffset(self):
-        self.given = (self.given or 0) + self.o.batch
+        self.given = (self.o.start["given"] if self.given is None else self.given) + self.o.batch
         return {"given": self.given}
 
     def partitions(self, start, end):

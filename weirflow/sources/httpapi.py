@@ -12,6 +12,7 @@ import urllib.request
 from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
 
+from pyspark.sql import Column
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from weirflow.sources.retry import TerminalError, with_retries
@@ -26,6 +27,11 @@ def check_address(addr: str) -> str:
     return addr.rstrip("/")
 
 
+def is_address(column: Column) -> Column:
+    """check_address for a column: whether it would pass."""
+    return column.rlike(r"^https?://[^/?#\s]+")
+
+
 def fetch(addr: str, topic: str, cursor: int) -> tuple[list[bytes], int, bool]:
     """(events, next cursor, whether the input has ended)."""
 
@@ -64,11 +70,11 @@ class _Reader(DataSourceReader):
 
 
 class _Stream(SimpleDataSourceStreamReader):
-    def __init__(self, addr: str, topic: str) -> None:
-        self.addr, self.topic = addr, topic
+    def __init__(self, addr: str, topic: str, start: dict) -> None:
+        self.addr, self.topic, self.start = addr, topic, start
 
     def initialOffset(self):
-        return {"cursor": 0}
+        return self.start
 
     def read(self, start):
         events, after, _ = fetch(self.addr, self.topic, start["cursor"])
@@ -103,4 +109,4 @@ class HttpApiSource(DataSource):
         return _Reader(*self._place())
 
     def simpleStreamReader(self, schema):
-        return _Stream(*self._place())
+        return _Stream(*self._place(), json.loads(self.options.get("startOffset", '{"cursor": 0}')))

@@ -17,8 +17,10 @@ def options(brokers: Sequence[str], topics: Sequence[str], group: str) -> dict[s
     return {"kafka.bootstrap.servers": ",".join(brokers), "subscribe": ",".join(topics), "kafka.group.id": group, "includeHeaders": "true", "startingOffsets": "earliest"}
 
 
-def read_stream(spark: SparkSession, brokers: Sequence[str], topics: Sequence[str], group: str) -> DataFrame:
-    return spark.readStream.format("kafka").options(**options(brokers, topics, group)).load()
+def read_stream(spark: SparkSession, brokers: Sequence[str], topics: Sequence[str], group: str, start: str | None = None) -> DataFrame:
+    """`start` is an offset as the connector notes it, {topic: {partition: offset}} in JSON."""
+    own = options(brokers, topics, group) | ({} if start is None else {"startingOffsets": start})
+    return spark.readStream.format("kafka").options(**own).load()
 
 
 def write_stream(df: DataFrame, brokers: Sequence[str], topic: str, checkpoint: str):

@@ -1,17 +1,19 @@
 """A handler as a stateful streaming operator.
 
-Events are shuffled by key once; the state store keeps each key's state values and Spark keeps its timers. A key's events in a
-micro-batch are handled in order of (time, arrival), its state being read and written once.
+Events are shuffled by key once. A key's state is a log of pages of changed entries in the state store: a micro-batch reads it once and appends
+a page of what changed, in one call each, and once it has grown to twice its entries it is written anew, so a change costs the same
+however large a state is. The key's pending timers are entries too; Spark keeps one timer for each key, at the earliest, and one call of Python
+handles all that are due. A key's events in a micro-batch are handled in order of (time, arrival).
 
 Spark would drop rows older than the watermark. To handle late events, as the model says, the watermark runs on a column `wm_ts`, the
 largest time seen so far in order of arrival (with_arrival_watermark makes it), so that no row is ever behind it. A stream without that
 column runs on its own times, and Spark then drops what is late. With a delay of one
-millisecond a timer fires once the largest time has passed it. Spark's timers count milliseconds: one between two milliseconds is moved to
-the later one, unless the handler declares fine_timers; its exact times are then kept in state.
+millisecond a timer fires once the largest time has passed it.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,11 +22,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from weirflow.functions.times import truncate
-from weirflow.model import Handler, KeyedEvent, Subject
+from weirflow.model import Handler, KeyedEvent, Subject, int_key, key_int
 from weirflow.operators.keyed import running
+from weirflow.runtime import session_conf
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "key string, value binary"
+LOG = "page binary"
+#: Namespace of pending timers; handlers can't have it, as theirs are declared by attribute.
+TIMERS = ""
+#: Changes that a log may hold beyond twice its entries, and those in one page.
+SLACK, PAGE = 16, 10_000
+
+
+def pages(changes: list[tuple[str, bytes, bytes | None]]) -> list[tuple[bytes]]:
+    """Changes (namespace, key, value or None for an entry that has gone) as rows of a log."""
+    return [(pickle.dumps(changes[i : i + PAGE], 4),) for i in range(0, len(changes), PAGE)]
+
+
+def unpack(log) -> Iterator[tuple[str, bytes, bytes | None]]:
+    """All changes of a log, oldest first."""
+    for row in log:
+        yield from pickle.loads(row[0])
 
 
 def _due_ms(ts_us: int) -> int:
@@ -37,73 +56,105 @@ class HandlerProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.values = {n: handle.getValueState(f"v{k}", "data binary") for k, n in enumerate(sorted(self.handler.state))}
-        self.exact = handle.getValueState("timers", "times array<long>") if self.handler.fine_timers else None
-
-    def _run(self, key, timer_values, calls) -> Iterator[Row]:
-        mark_ms = timer_values.getCurrentWatermarkInMs()
-        stored = {n: bytes(v.get()[0]) for n, v in self.values.items() if v.exists()}
-        before = dict(stored)
-        subject = Subject(key[0], (mark_ms + 1) * 1000 - 1, self.handler.state, stored)
-        times = set(self.exact.get()[0]) if self.exact and self.exact.exists() else set()
-        old = set(times)
-        calls(subject, times)
-        for ms in {_due_ms(t) for t in subject.new_timers - old}:
-            self.handle.registerTimer(ms)
-        if self.exact:
-            times |= subject.new_timers
-            if times != old:
-                self.exact.update((sorted(times),))
-        for n, v in self.values.items():
-            if n not in subject.stored:
-                if n in before:
-                    v.clear()
-            elif before.get(n) != subject.stored[n]:
-                v.update((subject.stored[n],))
-        if subject.sent:
-            yield from (Row(key=key[0], value=v) for v in subject.sent)
+        self.log = handle.getListState("log", LOG)
+
+    def _run(self, key: str, mark_ms: int, calls, fired: bool) -> Iterator[Row]:
+        entries: dict = {}
+        length = 0
+        for name, entry, value in unpack(self.log.get()):
+            length += 1
+            if value is None:
+                entries.pop((name, entry), None)
+            else:
+                entries[name, entry] = value
+        timers = {key_int(k) for n, k in entries if n == TIMERS}
+        armed = None if fired or not timers else _due_ms(min(timers))
+        state = {at: v for at, v in entries.items() if at[0] != TIMERS}
+        subject = Subject(key, (mark_ms + 1) * 1000 - 1, self.handler.state, state)
+        gone = calls(subject, timers)
+        changes = subject.changes()
+        pending = (timers - gone) | subject.new_timers
+        changes |= {(TIMERS, int_key(t)): None for t in timers - pending} | {(TIMERS, int_key(t)): b"" for t in pending - timers}
+        if changes:
+            live = len(subject.stored) + len(pending)
+            if length + len(changes) <= 2 * live + SLACK:
+                self.log.appendList(pages([(n, k, v) for (n, k), v in changes.items()]))
+            elif live:
+                self.log.put(pages([(n, k, v) for (n, k), v in subject.stored.items()] + [(TIMERS, int_key(t), b"") for t in sorted(pending)]))
+            else:
+                self.log.clear()
+        wanted = _due_ms(min(pending)) if pending else None
+        if wanted != armed:
+            if armed is not None:
+                self.handle.deleteTimer(armed)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        for v in subject.sent:
+            yield Row(key=key, value=v)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         events = [(r.ts_us, (r.arrival or 0) if "arrival" in r else 0, bytes(r.value or b"")) for r in rows]
         events.sort(key=lambda e: e[:2])
 
-        def calls(subject, _):
+        def calls(subject: Subject, _) -> set[int]:
             for ts, _, value in events:
-                self.handler.on_event(subject, KeyedEvent(key[0], ts, value))
+                self.handler.on_event(subject, KeyedEvent(subject.key, ts, value))
+            return set()
 
-        yield from self._run(key, timerValues, calls)
+        return self._run(key[0], timerValues.getCurrentWatermarkInMs(), calls, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
+        mark_ms = timerValues.getCurrentWatermarkInMs()
 
-        def calls(subject, times):
-            for t in sorted(t for t in times if _due_ms(t) == at) if self.exact else [at * 1000]:
-                times.discard(t)
+        def calls(subject: Subject, timers: set[int]) -> set[int]:
+            # timers set meanwhile lie after the watermark
+            due = sorted(t for t in timers if _due_ms(t) <= mark_ms)
+            for t in due:
                 self.handler.on_timer(subject, t)
+            return set(due)
 
-        yield from self._run(key, timerValues, calls)
+        return self._run(key[0], mark_ms, calls, True)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """A key's log as another query left it (savepoint.state_of)."""
+        log = [(bytes(page),) for page in initialState.log]
+        self.log.put(log)
+        timers: set[int] = set()
+        for name, entry, value in unpack(log):
+            if name == TIMERS:
+                (timers.discard if value is None else timers.add)(key_int(entry))
+        if timers:
+            self.handle.registerTimer(_due_ms(min(timers)))
 
     def close(self) -> None:
         pass
 
 
+def settings(spark: SparkSession, partitions: int | None = None):
+    """A block in which queries of handlers are started: the state store that they need, with changes written as logs, and the number of state
+    partitions of a new checkpoint. A query keeps what held when it started."""
+    conf = {"spark__sql__streaming__stateStore__providerClass": ROCKS, "spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled": "true"}
+    return session_conf(spark, **conf, **({} if partitions is None else {"spark__sql__shuffle__partitions": str(partitions)}))
+
+
 def with_arrival_watermark(df: DataFrame, ts_us: str, arrival: str, block: int = 1_000) -> DataFrame:
     """df (bounded) with wm_ts: the largest time up to each row in order of `arrival` (a whole number)."""
     seen = running(df.withColumn("_all", F.lit(0)), ["_all"], [arrival], truncate(F.col(arrival), block), {"_reach": F.col(ts_us)}, {"_reach": "max"})
     return seen.withColumn("wm_ts", F.timestamp_micros("_reach")).drop("_all", "_reach")
 
 
-def process(events: DataFrame, handler: Handler) -> DataFrame:
-    """key, value of everything the handler sends. events is a stream of key, ts_us, value, arrival (optional) and wm_ts."""
-    spark: SparkSession = events.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+def process(events: DataFrame, handler: Handler, initial: DataFrame | None = None) -> DataFrame:
+    """key, value of everything the handler sends. events is a stream of key, ts_us, value, arrival (optional) and wm_ts; its query is started under settings().
+
+    `initial` (savepoint.state_of) is the state to begin with in a new checkpoint, which may have any number of partitions.
+    """
     # a watermark starts at 0 and only rows after it are let in
     own = F.timestamp_micros(F.greatest("ts_us", F.lit(1000)))
     marked = events.withColumn("wm_ts", F.coalesce(F.greatest("wm_ts", F.timestamp_micros(F.lit(1000))), own) if "wm_ts" in events.columns else own)
     return (
         marked.withWatermark("wm_ts", "1 millisecond")
         .groupBy("key")
-        .transformWithState(statefulProcessor=HandlerProcessor(handler), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+        .transformWithState(statefulProcessor=HandlerProcessor(handler), outputStructType=OUT, outputMode="Append", timeMode="EventTime", initialState=None if initial is None else initial.groupBy("key"))
     )
 
 
