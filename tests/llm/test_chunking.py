@@ -63,3 +63,8 @@ def test_table_and_edges(spark):
     assert chunking.cut_texts(df.limit(0), "id", "text").count() == 0
     with pytest.raises(ValueError):
         chunking.cut_texts(df, "id", "text", 64, 32)
+
+
+def test_pieces_are_filled():
+    sizes = [n for _, t in texts() for _, _, _, n in chunking.cut_text(t)[:-1]]
+    assert sum(sizes) / len(sizes) > 0.75 * chunking.LIMIT

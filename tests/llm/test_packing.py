@@ -55,3 +55,20 @@ def test_edges(spark):
     assert [tuple(r) for r in tokens.token_counts(clash, "id", "body").collect()] == [(1, 2)]
     none = spark.createDataFrame([(1, None), (2, "")], "id long, body string")
     assert [r.n_tokens for r in tokens.token_counts(none, "id", "body").collect()] == [0, 0]
+
+
+def test_many_groups_in_a_task(spark):
+    rng = np.random.default_rng(5)
+    data = [(i, int(n)) for i, n in enumerate(rng.integers(0, 30, 3_000))]
+    df = spark.createDataFrame(data, "doc_id long, n_tokens long").repartition(3)
+    rows = packing.pack(df, capacity=20, group_tokens=200).collect()
+    held = {}
+    for r in rows:
+        held[r.container_id] = held.get(r.container_id, 0) + r.n_tokens
+    assert max(held.values()) <= 20 and len({c >> 40 for c in held}) > 100
+    by = {}
+    for r in rows:
+        by[r.doc_id] = by.get(r.doc_id, 0) + r.n_tokens
+    assert by == dict(data)
+    # far fewer tasks than groups
+    assert packing.pack(df, capacity=20, group_tokens=200).rdd.getNumPartitions() <= 8

@@ -1,7 +1,7 @@
 """Cutting texts that are larger than a limit, at natural boundaries, with overlap, by their content.
 
-A rolling hash over the last bytes marks landmarks. From each cut, the first landmark after the minimum size is taken and moved to the nearest
-natural boundary: before a heading, else the end of a paragraph, else of a sentence or line, else a word's end. A heading isn't parted
+A rolling hash over the last bytes marks landmarks. From each cut, the landmark with the least hash between the minimum size and the limit is taken and
+moved to the nearest natural boundary: before a heading, else the end of a paragraph, else of a sentence or line, else a word's end. A heading isn't parted
 from what follows it while there is a word's end to cut at. What a cut depends on
 lies near it, so an edit alters the pieces around it while later cuts find the same landmarks again. Where a stretch
 has no blanks at all, punctuation and at last single characters are cut between.
@@ -25,6 +25,8 @@ OVERLAP = 64
 WINDOW_BYTES = 32
 #: One landmark in so many bytes, on average.
 LANDMARK_EVERY = 64
+#: Share of the room that a piece fills at least, where there is a boundary to cut at.
+LEAST = 0.5
 #: Tokens by which an overlap may be longer so as to begin at a word.
 SLACK = 16
 #: Most characters of a heading.
@@ -142,7 +144,9 @@ def cut_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str =
     token_at = np.concatenate([[0], np.cumsum(token_bytes(path)[tokens])])
     before = np.searchsorted(token_at, char_at, "left")  # tokens before a character, a token it cuts counted
     rank = boundaries(points)
-    marks = np.flatnonzero(_rolling(raw) % np.uint64(LANDMARK_EVERY) == 0)
+    hashed = _rolling(raw)
+    marks = np.flatnonzero(hashed % np.uint64(LANDMARK_EVERY) == 0)
+    rarity = hashed[marks] // np.uint64(LANDMARK_EVERY)
     marks = np.searchsorted(char_at, marks, "right")  # the character after the landmark's
 
     def first_char(token: int) -> int:
@@ -175,9 +179,9 @@ def cut_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str =
             out.append((start, own, len(text), n))
             return out
         high = last_char(int(before[start]) + limit)
-        low = min(high, max(own + 1, first_char(int(before[own]) + (limit - overlap) // 2)))
-        k = int(np.searchsorted(marks, low))
-        want = int(marks[k]) if k < len(marks) and marks[k] <= high else high
+        low = min(high, max(own + 1, first_char(int(before[own]) + int((limit - overlap) * LEAST))))
+        k, z = np.searchsorted(marks, (low, high + 1))
+        want = int(marks[k + rarity[k:z].argmin()]) if k < z else high
         end = _snap(rank, low, high, want)
         n = size(start, end)
         while n > limit and end > own + 1:

@@ -8,8 +8,7 @@ torn apart don't matter.
 1. One pass over the corpus finds, with a rolling hash, every document that has item shingles, and which.
 2. Shingles are ordered by rarity: the number of documents of the whole corpus that have them.
 3. A document that shares s shingles with an item shares at least one of its n - s + 1 rarest. Only these, the item's
-   prefix, are joined with the documents' shingles. By default one shared shingle is enough (s = 1): shingles only choose the
-   pairs to look at, and an item changed at every few words has few of them left.
+   prefix, are joined with the documents' shingles. s is small by default: an item changed at every few words has few shingles left.
 4. What is left is verified letter by letter on the whole document: runs of at least SHORT equal letters are chained over gaps of
    about a word, and the item's words that lie in chains inside one window are counted.
 
@@ -36,15 +35,17 @@ SHINGLE = 24
 SHORT = 12
 #: Letters of a changed or inserted word that a chain may skip.
 GAP = 24
-#: Lengths of an item within which its passages may lie in a document, in any order, with other text between.
+#: Lengths of an item within which its shorter passages must begin in a document, in any order, with other text between.
 WINDOW = 4
 #: Share of an item's words that must lie in passages.
 SHARE = 0.5
 #: Share of an item's shingles that a document must have to be looked at, besides one of them.
-SHINGLE_SHARE = 0.0
+SHINGLE_SHARE = 0.005
 #: Words in a row that at least one passage must exceed.
 QUOTE = 12
 BLOCK_SHINGLES = 2_000_000
+#: Pairs of equal places of a document and an item that the verifier holds at once.
+PAIRS = 1 << 21
 _CHUNK = 1 << 21
 _DROP = bytes(b for b in range(256) if not (48 <= b <= 57 or 97 <= b <= 122))
 
@@ -145,35 +146,59 @@ def item_shingles(items: DataFrame) -> DataFrame:
     return items.mapInArrow(make, "item_id long, shingle long")
 
 
-def passages(item: bytes, starts: np.ndarray, stretches: list[tuple[int, bytes]]) -> tuple[int, int]:
-    """(words, longest): most of the item's words that passages in one window of the document hold, and the words of its longest passage.
+def _runs(item: bytes, doc: bytes) -> list[tuple[int, int, int]]:
+    """(place in the document, place in the item, length) of all longest runs of at least SHORT equal letters, by place in the document.
 
-    A passage is a chain of runs of at least SHORT equal letters that has one of SHINGLE or holds more than QUOTE words. Changed words
-    between two runs of SHINGLE belong to it; beside shorter runs only equal letters do, as texts of one pattern differ in just such
-    gaps. A word counts when at least half of its letters belong to a passage.
+    A text that repeats itself matches an item at many places at once: pairs of places are made of PAIRS at a time.
     """
-    where: dict[bytes, list[int]] = {}
-    for q in range(len(item) - SHORT + 1):
-        where.setdefault(item[q : q + SHORT], []).append(q)
+    own, hashed = (_hashes(np.frombuffer(t, np.uint8), SHORT) for t in (item, doc))
+    if not len(own) or not len(hashed):
+        return []
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    low = np.searchsorted(own, hashed, "left")
+    many = np.searchsorted(own, hashed, "right") - low
+    hit = np.flatnonzero(many)
+    upto = np.cumsum(many[hit])
     runs: list[list[int]] = []
-    for at, run in stretches:
-        live: dict[int, list[int]] = {}
-        for p in range(len(run) - SHORT + 1):
-            now = {}
-            for q in where.get(run[p : p + SHORT], ()):
-                r = live.get(at + p - q)
-                if r is None:
-                    r = [at + p, q, SHORT]
-                    runs.append(r)
-                else:
-                    r[2] += 1
-                now[at + p - q] = r
-            live = now
-    chains: list[list] = []  # document from, to, item from, to, spans of the item, ends of the last long run in document and item
-    for p, q, n in sorted(runs):
+    open_at: dict[int, list[int]] = {}  # diagonal -> run that reached the last place looked at
+    begin = 0
+    while begin < len(hit):
+        base = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, base + PAIRS, "right")))
+        at, n = hit[begin:end], many[hit[begin:end]]
+        p = np.repeat(at, n)
+        within = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
+        q = order[np.repeat(low[at], n) + within]
+        ranked = np.lexsort((p, p - q))
+        p, q = p[ranked], q[ranked]
+        first = np.ones(len(p), bool)
+        first[1:] = (np.diff(p) != 1) | (np.diff(p - q) != 0)
+        heads = np.flatnonzero(first)
+        sizes = np.diff(np.append(heads, len(p)))
+        reach, still = int(at[-1]), {}
+        before = int(hit[begin - 1]) if begin else -2
+        for x, y, size in zip(p[heads].tolist(), q[heads].tolist(), sizes.tolist()):
+            run = open_at.get(x - y) if x == before + 1 else None
+            if run is None:
+                run = [x, y, SHORT - 1]
+                runs.append(run)
+            run[2] += size
+            if x + size - 1 == reach:
+                still[x - y] = run
+        open_at, begin = still, end
+    return sorted(map(tuple, runs))
+
+
+def _chains(runs: list[tuple[int, int, int]]) -> list[list]:
+    """Runs joined over gaps of a word: [document from, to, item from, to, spans of the item, ends of the last long run in document and item]."""
+    chains: list[list] = []
+    active: list[list] = []  # those a run may still join, as runs come in order
+    for p, q, n in runs:
         long = n >= SHINGLE
-        for c in reversed(chains):
-            if -SHINGLE <= p - c[1] <= GAP and -SHINGLE <= q - c[3] <= GAP and q >= c[2]:
+        active = [c for c in active if p - c[1] <= GAP]
+        for c in reversed(active):
+            if p - c[1] >= -SHINGLE and -SHINGLE <= q - c[3] <= GAP and q >= c[2]:
                 near = long and c[5] is not None and p - c[5][0] <= GAP and q - c[5][1] <= GAP
                 c[4].append((min(q, c[5][1]) if near else q, q + n))
                 c[1], c[3] = max(c[1], p + n), max(c[3], q + n)
@@ -181,23 +206,52 @@ def passages(item: bytes, starts: np.ndarray, stretches: list[tuple[int, bytes]]
         else:
             c = [p, p + n, q, q + n, [(q, q + n)], None]
             chains.append(c)
+            active.append(c)
         if long:
             c[5] = (max(p + n, c[5][0]), max(q + n, c[5][1])) if c[5] else (p + n, q + n)
+    return chains
+
+
+def passages(item: bytes, starts: np.ndarray, stretches: list[tuple[int, bytes]]) -> tuple[int, int]:
+    """(words, longest): most of the item's words that passages of the document hold, and the words of its longest passage.
+
+    A passage is a chain of runs of at least SHORT equal letters that has one of SHINGLE or holds more than QUOTE words. Changed words
+    between two runs of SHINGLE belong to it; beside shorter runs only equal letters do, as texts of one pattern differ in just such
+    gaps. A word counts when at least half of its letters belong to a passage. Passages of more than QUOTE words count wherever
+    they stand; shorter ones, which a phrase in common may make, where they begin within one window of the document.
+    """
     sizes = np.diff(starts)
+    covered = np.zeros(len(item) + 1, np.int64)  # how many chosen passages hold each letter
 
-    def words(chosen) -> int:
-        covered = np.zeros(len(item) + 1, np.int64)
-        for c in chosen:
-            for x, y in c[4]:
-                covered[x:y] = 1
-        sums = np.concatenate([[0], np.cumsum(covered)])
+    def put(chain: list, by: int) -> None:
+        for x, y in chain[4]:
+            covered[x:y] += by
+
+    def words() -> int:
+        sums = np.concatenate([[0], np.cumsum(covered > 0)])
         return int(((sums[starts[1:]] - sums[starts[:-1]]) * 2 >= sizes).sum())
 
-    chains = [c for c in chains if c[5] or (len(c[4]) > 1 and words([c]) > QUOTE)]
-    best = (0, 0)
-    for first in chains:
-        inside = [c for c in chains if c[0] >= first[0] and c[1] <= first[0] + max(first[1] - first[0], WINDOW * len(item))]
-        best = max(best, (words(inside), max(words([c]) for c in inside)))
+    long, short = [], []
+    for c in _chains([(at + p, q, n) for at, text in stretches for p, q, n in _runs(item, text)]):
+        if c[5] or len(c[4]) > 1:
+            put(c, 1)
+            held = words()
+            put(c, -1)
+            if held > QUOTE:
+                long.append((c, held))
+            elif c[5]:
+                short.append((c, held))
+    for c, _ in long:
+        put(c, 1)
+    longest = max((n for _, n in long), default=0)
+    best = (words(), longest)
+    ahead = 0
+    for k, (c, _) in enumerate(short):
+        while ahead < len(short) and short[ahead][0][0] <= c[0] + WINDOW * len(item):
+            put(short[ahead][0], 1)
+            ahead += 1
+        best = max(best, (words(), longest or max(n for _, n in short[k:ahead])))
+        put(c, -1)
     return best
 
 
@@ -216,8 +270,10 @@ def _verify(share: float):
     return verify
 
 
-def _one_block(docs: DataFrame, items: DataFrame, shingles: DataFrame, share: float, shingle_share: float) -> DataFrame:
-    known = np.sort(np.array([r[0] for r in shingles.select("shingle").distinct().collect()], np.int64).view(np.uint64))
+def _candidates(docs: DataFrame, shingles: DataFrame, shingle_share: float) -> tuple[DataFrame, DataFrame]:
+    """(documents with item shingles, pairs to be verified)."""
+    column = shingles.select("shingle").distinct().toArrow()["shingle"]
+    known = np.sort(column.to_numpy().astype(np.int64).view(np.uint64))
     hits = cut(docs.mapInArrow(_scan(known), _HITS))
     seen = hits.select("doc_id", F.explode("shingles").alias("shingle"))
     rarity = seen.groupBy("shingle").agg(F.count(F.lit(1)).alias("n_docs"))
@@ -226,10 +282,14 @@ def _one_block(docs: DataFrame, items: DataFrame, shingles: DataFrame, share: fl
         "item_id", "shingle", F.row_number().over(by_item.orderBy(F.coalesce("n_docs", F.lit(0)), "shingle")).alias("rank"), F.count(F.lit(1)).over(by_item).alias("n")
     )
     ranked = ranked.withColumn("needed", F.greatest(F.lit(1), F.ceil(F.col("n") * shingle_share)))
+    # the last shingle of the prefix that a document may begin with leaves just as many behind it as are needed
     prefix = ranked.where("rank <= n - needed + 1").select("item_id", "shingle", "needed")
-    pairs = seen.join(prefix, "shingle").groupBy("doc_id", "item_id").agg(F.max("needed").alias("needed"))
-    pairs = pairs.join(hits, "doc_id").join(items, "item_id")
-    pairs = pairs.where(F.size("shingles") >= F.col("needed"))
+    return hits, seen.join(prefix, "shingle").groupBy("doc_id", "item_id").agg(F.max("needed").alias("needed"))
+
+
+def _one_block(docs: DataFrame, items: DataFrame, shingles: DataFrame, share: float, shingle_share: float) -> DataFrame:
+    hits, pairs = _candidates(docs, shingles, shingle_share)
+    pairs = pairs.join(hits, "doc_id").join(items, "item_id").where(F.size("shingles") >= F.col("needed"))
     return pairs.select("doc_id", "item_id", "letters", "item_text").mapInArrow(_verify(share), "doc_id long, item_id long, n_words int, of_words int")
 
 

@@ -1,9 +1,9 @@
 """Filling containers of a fixed capacity with texts, by the sum of squares.
 
 A text is placed where the sum, over all residual gaps, of the squared number of open containers with that gap becomes
-smallest. Texts are dealt to packing groups by a hash of their id and place in the input and each group is packed by one task, which holds the gap counts and
-the sizes of its own texts. A group's size is a parameter, so its share of unfilled containers is small
-at every scale and no task grows with the corpus.
+smallest. Texts are dealt to packing groups by a hash of their id and place in the input. A task packs its groups one after another and holds
+the gap counts and the sizes of one group's texts. A group's size is a parameter, so its share of unfilled containers is small
+at every scale; a task's memory doesn't grow with the corpus, and there are TASK_GROUPS times fewer tasks than groups.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from weirflow.runtime import cut
 
 CAPACITY = 2048
 GROUP_TOKENS = 4_000_000
+#: Groups that one task packs, one after another.
+TASK_GROUPS = 256
 _GROUP_SHIFT = 40
 SCHEMA = "container_id long, doc_id long, piece_no int, first_token long, n_tokens long"
 
@@ -98,19 +100,29 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_T
     groups = max(1, ceil(total / group_tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = list(batches)
-        if not sum(b.num_rows for b in rows):
-            return
-        held = pa.Table.from_batches(rows)
-        group, size = held["g"].to_numpy(), held["n_tokens"].to_numpy()
-        edges = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        for a, z in zip(edges, np.append(edges[1:], len(group))):
-            box, row, piece, first, n = pack_group(size[a:z], capacity)
-            ids = held["doc_id"].take(pa.array(row + a)).combine_chunks()
-            arrays = [pa.array((int(group[a]) << _GROUP_SHIFT) + box), ids, *map(pa.array, (piece, first, n))]
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            held.clear()
+            box, row, piece, first, n = pack_group(rows["n_tokens"].to_numpy(), capacity)
+            arrays = [pa.array((now << _GROUP_SHIFT) + box), rows["doc_id"].take(pa.array(row)).combine_chunks(), *map(pa.array, (piece, first, n))]
             yield pa.RecordBatch.from_arrays(arrays, names=["container_id", "doc_id", "piece_no", "first_token", "n_tokens"])
 
+        for b in batches:
+            group = b["g"].to_numpy()
+            edges = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else []
+            for a, z in zip(edges, [*edges[1:], len(group)]):
+                if held and group[a] != now:
+                    yield from packed()
+                now = int(group[a])
+                held.append(b.slice(a, z - a))
+        if held:
+            yield from packed()
+
     placed = kept.withColumn("g", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
-    # the group is the partition, so each has one task; larger texts come first, which leaves small ones to fill gaps
-    each = placed.repartitionById(groups, F.col("g")).sortWithinPartitions("g", F.desc("n_tokens"), "doc_id")
+    # a task has whole groups; larger texts come first, which leaves small ones to fill gaps
+    tasks = min(groups, max(int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(groups / TASK_GROUPS)))
+    each = placed.repartitionById(tasks, F.pmod("g", F.lit(tasks))).sortWithinPartitions("g", F.desc("n_tokens"), "doc_id")
     return each.mapInArrow(run, SCHEMA)

@@ -44,3 +44,19 @@ def token_counts(df: DataFrame, doc_id: str, text: str, path: str = RANKS) -> Da
 
     rows = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))
     return rows.mapInArrow(count, "doc_id long, n_tokens long")
+
+
+def piece_bytes(path: str = RANKS):
+    """For mapInArrow: doc_id, pieces (first_token, n_tokens), text and n_overfull to doc_id, the bytes of all tokens in the pieces, n_overfull."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, size = encoding(path), token_bytes(path)
+        for b in batches:
+            out = []
+            for t, pieces in zip(b["text"].to_pylist(), b["pieces"].to_pylist()):
+                each = size[np.array(coder.encode_ordinary(t or ""), np.int64)]
+                # a token that two pieces had would count twice
+                out.append(int(sum(each[p["first_token"] : p["first_token"] + p["n_tokens"]].sum() for p in pieces)))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(out, pa.int64()), b["n_overfull"]], names=["doc_id", "n_bytes", "n_overfull"])
+
+    return run
