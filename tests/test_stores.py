@@ -216,3 +216,12 @@ def test_ranges_of_long_numbers(spark):
     accepted, seen = dedup.accept_batch(second, "p", "s", "o", seen)
     assert sorted(r.o for r in accepted.collect()) == [21, 22, 23]
     assert ("a", low, low + 5, (LONG + "000")[:-18]) in rows(seen)
+
+
+def test_a_stray_date_makes_no_huge_array(spark):
+    from weirflow.operators import rolling
+
+    daily = spark.createDataFrame([("a", 0, 3), ("a", 2, 1), ("a", 3_000_000, 5), ("b", -5, 2), ("b", 4_095, 1)], "event_key string, day long, total long")
+    got = rolling.rolling_totals(daily)
+    assert {r.event_key: (r.n, r.t, r.z) for r in got.groupBy("event_key").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("t"), F.sum("total_7").alias("z")).collect()} == {"a": (3_000_001, 9, 4 * 7 + 5), "b": (4_101, 3, 2 * 7 + 1)}
+    assert [tuple(r)[1:4] for r in got.where("event_key = 'a' and (day in (0, 1, 2, 9) or day > 2999999)").orderBy("day").collect()] == [(0, True, 3), (1, False, 0), (2, True, 1), (9, False, 0), (3_000_000, True, 5)]

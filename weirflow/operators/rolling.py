@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
+#: Days of a gap that are made at once.
+SPAN = 4096
 
 
 def daily_totals(events: DataFrame, value: Column | None = None) -> DataFrame:
@@ -32,8 +34,12 @@ def rolling_totals(daily: DataFrame, windows: tuple[int, ...] = (7, 30)) -> Data
     active = daily.where("event_key is not null and day is not null").groupBy("event_key", "day").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
     along = Window.partitionBy("event_key").orderBy("day")
     gaps = active.withColumn("next", F.coalesce(F.lead("day").over(along), F.col("day") + 1))
-    step = F.posexplode(F.sequence("day", F.col("next") - 1)).alias("nth", "each_day")
-    dense = gaps.select("event_key", "total", step).select("event_key", F.col("each_day").alias("day"), F.when(F.col("nth") == 0, F.col("total")).otherwise(0).alias("total"), (F.col("nth") == 0).alias("active"))
+    # a gap of any length, a stray date's too, in two steps: no row ever makes an array of more than SPAN days, or of one in SPAN of them
+    last = F.col("next") - 1
+    spans = gaps.select("event_key", "day", "total", "next", F.explode(F.sequence("day", last, F.lit(SPAN).cast("long"))).alias("_from"))
+    each = spans.select("event_key", "day", "total", F.explode(F.sequence("_from", F.least(F.col("_from") + (SPAN - 1), last))).alias("each_day"))
+    first = F.col("each_day") == F.col("day")
+    dense = each.select("event_key", F.col("each_day").alias("day"), F.when(first, F.col("total")).otherwise(0).alias("total"), first.alias("active"))
     back = lambda name, days: F.coalesce(F.lag(name, days).over(along), F.lit(0)) if days else F.col(name)
     sums, size = dense.withColumn("block_1", F.col("total")), 1
     while size * 2 <= max(windows):

@@ -30,6 +30,12 @@ def p1_kept(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("delivery_id", "shard_id", "partition_key", whole_number(F.col("sequence_number")).alias("sequence_no"))
 
 
+def p1_payload(spark: SparkSession, d: str) -> DataFrame:
+    """One delivery of each message with its payload, which travels along; its digest comes out."""
+    kept = dedup.drop_repeats(table(spark, d, "kinesis_records"), "partition_key", "sequence_number", "delivery_id", keep=["delivery_id", "record_data"])
+    return kept.select("delivery_id", F.md5("record_data").alias("digest"))
+
+
 def _kafka_log(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(records, positions) of the Kafka job, by offset. The scan skips row groups that lie before all positions of a topic."""
     split = F.concat_ws(":", "topic_name", F.col("split_partition").cast("string"))
@@ -237,7 +243,7 @@ def p7_totals(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_kept, p2_found, p2_plan, p2_replay, p2_again, p2_long, p3_found, p3_sessions, p4_found, p4_entries, p4_runs, p5_found, p5_counts, p5_runs, p6_found, p6_key_stats, p6_halves, p7_found, p7_totals)
+    for f in (p1_found, p1_kept, p1_payload, p2_found, p2_plan, p2_replay, p2_again, p2_long, p3_found, p3_sessions, p4_found, p4_entries, p4_runs, p5_found, p5_counts, p5_runs, p6_found, p6_key_stats, p6_halves, p7_found, p7_totals)
 }
 
 _EVENTS = """events_once as (
@@ -280,6 +286,7 @@ _LIVE = """select operator_id, entry_k, arg_max(is_deleted, seq_num) gone, arg_m
 SQL = {
     "p1_found": "select delivery_id from kinesis_records qualify row_number() over (partition by partition_key, cast(trim(sequence_number) as bigint) order by delivery_id) > 1",
     "p1_kept": "select delivery_id, shard_id, partition_key, cast(trim(sequence_number) as bigint) sequence_no from kinesis_records qualify row_number() over (partition by partition_key, cast(trim(sequence_number) as bigint) order by delivery_id) = 1",
+    "p1_payload": "select delivery_id, md5(record_data) digest from kinesis_records qualify row_number() over (partition by partition_key, cast(trim(sequence_number) as bigint) order by delivery_id) = 1",
     "p2_found": _POSITIONS + "select distinct r.split_id, record_position from records r left join positions p using (split_id) where first_position is null or record_position >= first_position",
     "p2_plan": _POSITIONS
     + "select split_id, nullif(any_value(first_position), -1) first_position, max(record_position) last_position from records left join positions using (split_id) group by split_id having any_value(first_position) is null or max(record_position) >= any_value(first_position)",
