@@ -72,3 +72,15 @@ def test_many_groups_in_a_task(spark):
     assert by == dict(data)
     # far fewer tasks than groups
     assert packing.pack(df, capacity=20, group_tokens=200).rdd.getNumPartitions() <= 8
+
+
+def test_a_shipped_vocabulary(spark, tmp_path):
+    import os
+    import shutil
+
+    named = str(tmp_path / "here.tiktoken")
+    shutil.copy(tokens.RANKS, named)
+    tokens.ship(spark, named)
+    os.remove(named)
+    df = spark.createDataFrame([(1, "two words")], "id long, body string")
+    assert [r.n_tokens for r in tokens.token_counts(df, "id", "body", named).collect()] == [2]

@@ -135,7 +135,7 @@ def cut_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str =
     data = text.encode("utf-8", "replace")
     if len(data) <= limit and not text:
         return [(0, 0, 0, 0)]
-    tokens = coder.encode_to_numpy(text) if len(text) < 1 << 20 else np.array(coder.encode_ordinary(text), np.int64)
+    tokens = np.array(coder.encode_ordinary(text), np.int64)
     if len(tokens) <= limit:
         return [(0, 0, len(text), len(tokens))]
     raw = np.frombuffer(data, np.uint8)

@@ -3,25 +3,37 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
-#: Default vocabulary: ranks of a byte-level BPE. Every executor must find it at this path; pass another path to use another file.
+#: Default vocabulary: ranks of a byte-level BPE. Executors look for it at this path, else for a file of its name shipped by ship(); pass another path to use another file.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the public pattern that splits text before the merges of such rank files
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def ship(spark: SparkSession, path: str = RANKS) -> str:
+    """Sends a rank file from the driver to all executors, which need not have it; returns the path to name."""
+    spark.sparkContext.addFile(path)
+    return path
+
+
+def _found(path: str) -> str:
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 @lru_cache(maxsize=4)
 def encoding(path: str = RANKS):
     """The tokenizer of a rank file; one per Python worker."""
     import tiktoken
 
-    with open(path, "rb") as lines:
+    with open(_found(path), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
