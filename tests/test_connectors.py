@@ -21,17 +21,22 @@ def service():
     topics: dict[str, list[str]] = {}
 
     class Serve(BaseHTTPRequestHandler):
+        page_size, bounded, posts = 2, True, []
+
         def do_GET(self):
             _, _, topic, cursor = self.path.split("/")
-            page = topics.get(topic, [])[int(cursor) : int(cursor) + 2]
+            page = topics.get(topic, [])[int(cursor) : int(cursor) + self.page_size]
             after = int(cursor) + len(page)
-            body = json.dumps({"Events": page, "Status": "eoi" if after >= len(topics.get(topic, [])) else "more", "Cursor": after}).encode()
+            ended = self.bounded and after >= len(topics.get(topic, []))
+            body = json.dumps({"Events": page, "Status": "eoi" if ended else "more", "Cursor": after}).encode()
             self.send_response(404 if topic == "gone" else 200)
             self.end_headers()
             self.wfile.write(body)
 
         def do_POST(self):
-            topics.setdefault(self.path.split("/")[2], []).extend(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            sent = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.posts.append(len(sent))
+            topics.setdefault(self.path.split("/")[2], []).extend(sent)
             self.send_response(200)
             self.end_headers()
 
@@ -40,6 +45,8 @@ def service():
 
     server = ThreadingHTTPServer(("127.0.0.1", 0), Serve)
     threading.Thread(target=server.serve_forever, daemon=True).start()
+    topics_of = type("Topics", (dict,), {"serve": Serve})
+    topics = topics_of()
     yield f"http://127.0.0.1:{server.server_port}", topics
     server.shutdown()
 
@@ -98,6 +105,29 @@ def test_job_from_http_to_http(spark, service, tmp_path):
     assert saved.startswith(str(tmp_path / "saved"))
 
 
+def test_http_source_without_an_end_and_other_pages(spark, service, tmp_path):
+    addr, topics = service
+    registry.register(spark)
+    topics.serve.page_size, topics.serve.bounded = 3, False
+    topics["in"] = encoded(*"abcdefg")
+    read = spark.read.format("httpapi").option("addr", addr).option("topic", "in").load()
+    assert [bytes(r.value).decode() for r in read.collect()] == list("abcdefg")
+    q = spark.readStream.format("httpapi").option("addr", addr).option("topic", "in").load().writeStream.format("memory").queryName("without_end").start()
+    q.processAllAvailable()
+    topics["in"] += encoded("h")
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(bytes(r.value).decode() for r in spark.table("without_end").collect()) == list("abcdefgh")
+
+
+def test_http_sink_sends_lists(spark, service):
+    addr, topics = service
+    registry.register(spark)
+    rows = [(json.dumps({"Topic": "x" if k < 7 else "y", "Data": encoded(str(k))[0]}),) for k in range(10)]
+    spark.createDataFrame(rows, "value string").coalesce(1).write.format("httpapi-sink").mode("append").option("addr", addr).option("batch", 5).save()
+    assert topics["x"] == encoded(*"0123456") and topics["y"] == encoded(*"789") and topics.serve.posts == [5, 2, 3]
+
+
 def test_http_sink_needs_a_topic(spark, service):
     from weirflow.sinks.httpapi import post
 
@@ -118,11 +148,15 @@ def test_embedded(spark):
     assert got == list(range(len(got))) and len(got) >= 12
 
 
+def kinesis_stream(spark, fake, progress, **more):
+    return spark.readStream.format("kinesis").options(streamArn=ARN, client="kinesis_fake:client", path=fake.path, progress=str(progress), batch=7, poll=0.3, **more).load()
+
+
 def test_kinesis_order_across_shard_lineage(spark, tmp_path):
     fake = Fake(str(tmp_path / "stream.json"))
     fake.create(2)
     registry.register(spark)
-    n = 0
+    n, batches = 0, []
 
     def put(count):
         nonlocal n
@@ -130,20 +164,92 @@ def test_kinesis_order_across_shard_lineage(spark, tmp_path):
             fake.put(f"key-{n % 5}", str(n))
             n += 1
 
-    def stream():
-        return spark.readStream.format("kinesis").option("streamArn", ARN).option("client", "kinesis_fake:client").option("path", fake.path).option("batch", 7).load()
-
     def go():
-        q = stream().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start()
+        stream = kinesis_stream(spark, fake, tmp_path / "progress")
+        q = stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda df, k: batches.append([(r.shard_id, r.partition_key, int(bytes(r.value)), r.sequence_number) for r in df.collect()])).start()
         q.processAllAvailable()
         q.stop()
 
     put(30), go()
     fake.split("shardId-000000000000"), put(30)
     fake.merge("shardId-000000000002", "shardId-000000000003"), put(30)
-    go(), go(), go()
-    rows = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert sorted(int(bytes(r.value)) for r in rows) == list(range(90))
+    go(), go()
+    rows = [r for b in batches for r in b]
+    assert sorted(r[2] for r in rows) == list(range(90))  # none twice, none left out, over restarts, expired iterators and a busy service
+    by_key = {}
+    for b in batches:
+        for _, key, value, _ in sorted(b, key=lambda r: r[3]):
+            by_key.setdefault(key, []).append(value)
+    # in the order of micro-batches, and inside one of sequence numbers of a key's one shard
+    assert all(v == sorted(v) for v in by_key.values()) and len(by_key) == 5
+    assert all(len({r[0] for r in b if r[1] == key}) <= 1 for b in batches for key in by_key)
+    assert max(len([r for r in b if r[0] == s]) for b in batches for s in {r[0] for r in b}) <= 7
+
+
+def test_kinesis_claims_make_tasks_repeat_themselves(tmp_path):
+    fake = Fake(str(tmp_path / "stream.json"))
+    fake.create(1)
+    for k in range(10):
+        fake.put("k", str(k))
+    s = kinesis._Stream({"streamArn": ARN, "client": "kinesis_fake:client", "path": fake.path, "progress": str(tmp_path / "p"), "batch": "4", "poll": "0"})
+    start, end = s.initialOffset(), s.latestOffset()
+    (part,) = s.partitions(start, end)
+    first = [r[1] for r in s.read(part)]
+    fake.put("k", "more")
+    again = kinesis._Stream(s.options)
+    assert [r[1] for r in again.read(part)] == first and len(first) == 4
+    # a task beside it that has read less, or more, goes by the claim
+    for batch in ("2", "9"):
+        other = kinesis._Stream(s.options | {"batch": batch})
+        assert [r[1] for r in other.read(part)] == first
+    assert s.partitions(end, end) == []
+    following = s.latestOffset()
+    assert following["from"]["shardId-000000000000"]["at"] == first[-1]
+    # a new reader that is told where the query stood goes on from there, as does one that starts at a savepoint's offset
+    again.partitions(end, end)
+    assert again.latestOffset() == following
+    assert kinesis._Stream(s.options | {"startOffset": json.dumps(end)}).latestOffset()["from"] == following["from"]
+    with pytest.raises(retry.TerminalError, match="AccessDenied"):
+        list(kinesis._Stream(s.options | {"client": "kinesis_fake:denied", "progress": str(tmp_path / "q")}).read(part))
+    with pytest.raises(ValueError, match="progress"):
+        source = kinesis.KinesisSource({"streamArn": ARN})
+        source.streamReader(None)
+
+
+def test_kinesis_lists_shards_by_page_and_interval(tmp_path):
+    fake = Fake(str(tmp_path / "stream.json"))
+    fake.create(8)
+    s = kinesis._Stream({"client": "kinesis_fake:client", "path": fake.path, "progress": str(tmp_path / "p"), "discoveryInterval": "100"})
+    assert len(s._shards(False)) == 8
+    calls = fake.count("list")
+    s._shards(False)
+    assert fake.count("list") == calls + 1  # the counter's own call only
+    assert len(s._shards(True)) == 8 and fake.count("list") > calls + 3
+
+
+def test_service_client_by_a_stub():
+    class Service:
+        def list_shards(self, **a):
+            return {"Shards": [{"ShardId": "a", "HashKeyRange": {"StartingHashKey": "0", "EndingHashKey": "9"}, "ParentShardId": "p"}], "NextToken": None if "NextToken" in a else "t"}
+
+        def get_shard_iterator(self, **a):
+            return {"ShardIterator": a["ShardIteratorType"] + a.get("StartingSequenceNumber", "")}
+
+        def get_records(self, **a):
+            if a["ShardIterator"] == "bad":
+                e = Exception("expired")
+                e.response = {"Error": {"Code": "ExpiredIteratorException"}}
+                raise e
+            return {"Records": [{"SequenceNumber": "1", "PartitionKey": "k", "Data": b"d", "ApproximateArrivalTimestamp": None}]}
+
+    c = kinesis._Boto3(Service(), ARN)
+    shards, token = c.list_shards(None)
+    assert (shards[0].shard_id, shards[0].end, shards[0].parents, token, c.list_shards("t")[1]) == ("a", 9, ["p"], "t", None)
+    assert c.get_shard_iterator("a", None) == "TRIM_HORIZON" and c.get_shard_iterator("a", "5") == "AFTER_SEQUENCE_NUMBER5"
+    assert c.get_records("x", 5) == ([{"sequence_number": "1", "partition_key": "k", "data": b"d", "timestamp": None}], None)
+    with pytest.raises(Exception, match="expired") as e:
+        c.get_records("bad", 5)
+    assert e.value.code == kinesis.EXPIRED
 
 
 def test_shard_tracker_and_assignment():

@@ -375,3 +375,32 @@ def test_savepoint_command(spark, tmp_path, capsys):
     assert savepoint.newest(spark, saved) == savepoint.newest(spark, str(tmp_path / "c")) >= 0
     with pytest.raises(FileNotFoundError):
         savepoint.save(spark, str(tmp_path / "nothing"), str(tmp_path / "saved"), wait=0.1)
+
+
+def test_the_slowest_of_two_streams_holds_timers_back(spark, tmp_path):
+    class Alarm(handlers.Handler):
+        """Sends a timer's time when it fires."""
+
+        def on_event(self, subject, event):
+            subject.set_timer(event.ts_us + 1_000_000)
+
+        def on_timer(self, subject, ts_us):
+            subject.send(str(ts_us // 1_000_000))
+
+    def put(name, *seconds):
+        rows = [("k", t * 1_000_000, bytearray(b"")) for t in seconds]
+        spark.createDataFrame(rows, "key string, ts_us long, value binary").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    got = []
+
+    def go():
+        streams = [spark.readStream.schema("key string, ts_us long, value binary").parquet(str(tmp_path / n)) for n in "ab"]
+        with processor.settings(spark, 2):
+            q = processor.process(streams, Alarm()).writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda df, _: got.extend(int(bytes(r.value)) for r in df.collect())).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted(got)
+
+    put("a", 10, 20, 30, 100), put("b", 15)
+    assert go() == [11]  # the other stream is at 100
+    put("b", 40)
+    assert go() == [11, 16, 21, 31]

@@ -48,7 +48,9 @@ class Job:
             stream = spark.readStream.format("embedded").options(splits=o.get("splitCount", 1), batch=o.get("batchSize", 1000), **begin).load()
             return stream.withColumn("value", F.col("value").cast("binary"))
         if kind == "kinesis":
-            return spark.readStream.format("kinesis").options(**{k: str(v) for k, v in o.items()}, **begin).load()
+            # claims lie in the checkpoint, so that a savepoint has them too
+            own = {"progress": f"{self.checkpoint}/claims"} | {k: str(v) for k, v in o.items()}
+            return spark.readStream.format("kinesis").options(**own, **begin).load()
         if kind == "kafka":
             return kafka.read_stream(spark, o["brokers"], o["topics"], o["consumerGroup"], start)
         at = scratch(spark, "stdin")
@@ -74,6 +76,7 @@ class Job:
                 savepoint.restore(spark, from_savepoint, self.checkpoint)
             else:
                 begin, state = ends[0], savepoint.state_of(spark, from_savepoint)
+                savepoint.copy_claims(spark, from_savepoint, self.checkpoint)
         o, kind = self.conf.sink.options, self.conf.sink.kind
         with processor.settings(spark, self.conf.key_groups):
             out = self.results(self.read(spark, begin) if raw is None else raw, state)

@@ -14,7 +14,7 @@ millisecond a timer fires once the largest time has passed it.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -143,18 +143,21 @@ def with_arrival_watermark(df: DataFrame, ts_us: str, arrival: str, block: int =
     return seen.withColumn("wm_ts", F.timestamp_micros("_reach")).drop("_all", "_reach")
 
 
-def process(events: DataFrame, handler: Handler, initial: DataFrame | None = None) -> DataFrame:
+def process(events: DataFrame | Sequence[DataFrame], handler: Handler, initial: DataFrame | None = None) -> DataFrame:
     """key, value of everything the handler sends. events is a stream of key, ts_us, value, arrival (optional) and wm_ts; its query is started under settings().
 
+    Several streams have a watermark each, and the least of them holds (spark.sql.streaming.multipleWatermarkPolicy is "min" by default).
     `initial` (savepoint.state_of) is the state to begin with in a new checkpoint, which may have any number of partitions.
     """
     # a watermark starts at 0 and only rows after it are let in
     own = F.timestamp_micros(F.greatest("ts_us", F.lit(1000)))
-    marked = events.withColumn("wm_ts", F.coalesce(F.greatest("wm_ts", F.timestamp_micros(F.lit(1000))), own) if "wm_ts" in events.columns else own)
-    return (
-        marked.withWatermark("wm_ts", "1 millisecond")
-        .groupBy("key")
-        .transformWithState(statefulProcessor=HandlerProcessor(handler), outputStructType=OUT, outputMode="Append", timeMode="EventTime", initialState=None if initial is None else initial.groupBy("key"))
+    whole = None
+    for stream in [events] if isinstance(events, DataFrame) else events:
+        mark = F.coalesce(F.greatest("wm_ts", F.timestamp_micros(F.lit(1000))), own) if "wm_ts" in stream.columns else own
+        marked = stream.withColumn("wm_ts", mark).withWatermark("wm_ts", "1 millisecond")
+        whole = marked if whole is None else whole.unionByName(marked)
+    return whole.groupBy("key").transformWithState(
+        statefulProcessor=HandlerProcessor(handler), outputStructType=OUT, outputMode="Append", timeMode="EventTime", initialState=None if initial is None else initial.groupBy("key")
     )
 
 

@@ -101,6 +101,14 @@ def offsets(spark: SparkSession, savepoint: str) -> tuple[int, list[str]]:
     return int(json.loads(about)["conf"]["spark.sql.shuffle.partitions"]), ends
 
 
+def copy_claims(spark: SparkSession, savepoint: str, checkpoint: str) -> None:
+    """What tasks of a source noted beside a checkpoint (weirflow.sources.kinesis), for a new checkpoint that goes on from the savepoint's offset."""
+    source = f"{savepoint.rstrip('/')}/claims"
+    fs, at = filesystem(spark, source)
+    if fs.exists(at):
+        _copy(spark, source, f"{checkpoint.rstrip('/')}/claims", _files(spark, source))
+
+
 def state_of(spark: SparkSession, savepoint: str) -> DataFrame:
     """key, log of every key's state of a handler, timers included: what processor.process takes as `initial`."""
     states = spark.read.format("statestore").option("stateVarName", "log").option("flattenCollectionTypes", "false").load(savepoint)
