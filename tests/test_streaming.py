@@ -392,15 +392,15 @@ def test_the_slowest_of_two_streams_holds_timers_back(spark, tmp_path):
         spark.createDataFrame(rows, "key string, ts_us long, value binary").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
 
     got = []
-
-    def go():
-        streams = [spark.readStream.schema("key string, ts_us long, value binary").parquet(str(tmp_path / n)) for n in "ab"]
-        with processor.settings(spark, 2):
-            q = processor.process(streams, Alarm()).writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda df, _: got.extend(int(bytes(r.value)) for r in df.collect())).trigger(availableNow=True).start()
-        q.awaitTermination()
-        return sorted(got)
-
     put("a", 10, 20, 30, 100), put("b", 15)
-    assert go() == [11]  # the other stream is at 100
-    put("b", 40)
-    assert go() == [11, 16, 21, 31]
+    streams = [spark.readStream.schema("key string, ts_us long, value binary").parquet(str(tmp_path / n)) for n in "ab"]
+    with processor.settings(spark, 2):
+        q = processor.process(streams, Alarm()).writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda df, _: got.extend(int(bytes(r.value)) for r in df.collect())).start()
+    try:
+        q.processAllAvailable()
+        assert sorted(got) == [11]  # the other stream is at 100
+        put("b", 40)
+        q.processAllAvailable()
+        assert sorted(got) == [11, 16, 21, 31]
+    finally:
+        q.stop()

@@ -107,6 +107,15 @@ def stream_restart_sum(spark: SparkSession, d: str) -> DataFrame:
     return _sums(r.sent())
 
 
+def stream_savepoint_sum(spark: SparkSession, d: str) -> DataFrame:
+    """The running sum by a query of which a savepoint is made halfway; another query begins with it and does the rest."""
+    r = _Replay(_events(spark, d, F.to_json(F.struct("event_id", "cents"))))
+    r.drain(r.show(0.5), UserSum(), "first")
+    savepoint.restore(spark, savepoint.save(spark, f"{r.at}/first", f"{r.at}/saved"), f"{r.at}/second")
+    r.drain(r.show(1.0), UserSum(), "second")
+    return _sums(r.sent())
+
+
 def stream_rescale_windows(spark: SparkSession, d: str) -> DataFrame:
     """Count windows by a query whose state and timers are taken over, halfway, by one with another number of state partitions."""
     r = _Replay(_events(spark, d, F.lit("")))
@@ -149,11 +158,12 @@ _ENTRIES = (
     + " + greatest(coalesce(bought, 0), 0) cents from l"
 )
 
-QUERIES = {f.__name__: f for f in (stream_running_sum, stream_count_in_window, stream_state_entries, stream_restart_sum, stream_rescale_windows)}
+QUERIES = {f.__name__: f for f in (stream_running_sum, stream_count_in_window, stream_state_entries, stream_restart_sum, stream_savepoint_sum, stream_rescale_windows)}
 SQL = {
     "stream_running_sum": streams.SQL["running_sum"],
     "stream_count_in_window": streams.SQL["count_in_window"],
     "stream_state_entries": _ENTRIES,
     "stream_restart_sum": streams.SQL["running_sum"],
+    "stream_savepoint_sum": streams.SQL["running_sum"],
     "stream_rescale_windows": streams.SQL["count_in_window"],
 }

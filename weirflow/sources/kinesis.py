@@ -200,6 +200,7 @@ class _Stream(DataSourceStreamReader):
         self.progress = Progress(options["progress"])
         self.begin = json.loads(options["startOffset"]) if "startOffset" in options else None
         self.end: dict | None = None
+        self.asked = False
         self.idle_until = self.listed_at = float("-inf")
         self.listed: list[Shard] = []
 
@@ -242,8 +243,8 @@ class _Stream(DataSourceStreamReader):
                 return self.end
             at, read, ended = self._claims(self.end)
             n = self.end["n"]
-            if n and not read and self.idle_until == float("-inf"):
-                # nothing came: the query may rest before the shards are looked at again
+            if self.asked and not read and self.idle_until == float("-inf"):
+                # nothing came of this reader's last read: the query may rest before the shards are looked at again
                 self.idle_until = time.monotonic() + self.poll
                 return self.end
         self.idle_until = float("-inf")
@@ -254,7 +255,7 @@ class _Stream(DataSourceStreamReader):
         tracker.finish([s for s, p in at.items() if p["done"]])
         for shard in tracker.available():
             at.setdefault(shard.shard_id, {"at": None, "done": False})
-        self.end = {"n": n + 1, "from": at}
+        self.end, self.asked = {"n": n + 1, "from": at}, True
         return self.end
 
     def partitions(self, start, end):

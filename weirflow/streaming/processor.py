@@ -146,7 +146,8 @@ def with_arrival_watermark(df: DataFrame, ts_us: str, arrival: str, block: int =
 def process(events: DataFrame | Sequence[DataFrame], handler: Handler, initial: DataFrame | None = None) -> DataFrame:
     """key, value of everything the handler sends. events is a stream of key, ts_us, value, arrival (optional) and wm_ts; its query is started under settings().
 
-    Several streams have a watermark each, and the least of them holds (spark.sql.streaming.multipleWatermarkPolicy is "min" by default).
+    Several streams have a watermark each, and the least of them holds (spark.sql.streaming.multipleWatermarkPolicy is "min" by default). After a
+    restart a stream holds the others back until it has rows again.
     `initial` (savepoint.state_of) is the state to begin with in a new checkpoint, which may have any number of partitions.
     """
     # a watermark starts at 0 and only rows after it are let in
