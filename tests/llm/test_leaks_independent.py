@@ -103,3 +103,14 @@ def test_prefix_gives_up_only_what_it_says(spark):
     frames = (spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string"))
     whole = {tuple(r) for r in leaks.find_leaks(*frames, shingle_share=0.0).collect()}
     assert {tuple(r) for r in leaks.find_leaks(*frames).collect()} == whole
+
+
+def test_the_bound_is_one():
+    docs = [t for (t,) in duckdb.sql(f"select text from '{SF}/documents.parquet' where doc_id % 40 = 0").fetchall()]
+    items = [leaks._Item(t) for (t,) in duckdb.sql(f"select item_text from '{SF}/benchmark_items.parquet'").fetchall()]
+    rng = np.random.default_rng(1)
+    for text in [*docs[:10], *(" ".join(rng.permutation(t.stream.decode()[:200].split("e"))) for t in items[:20]), *(t.stream.decode() for t in items[:5])]:
+        stream = leaks.letters(text)
+        known = np.unique(leaks._hashes(np.frombuffer(stream, np.uint8), leaks.SHORT))
+        for it in items[:40]:
+            assert leaks.passages(it.stream, it.starts, [(0, stream)])[0] <= it.most(known)

@@ -255,16 +255,51 @@ def passages(item: bytes, starts: np.ndarray, stretches: list[tuple[int, bytes]]
     return best
 
 
-def _verify(share: float):
+class _Item:
+    """An item as the verifier needs it."""
+
+    def __init__(self, text: str | None) -> None:
+        self.stream, self.starts = item_words(text)
+        self.words, self.sizes = len(self.starts) - 1, np.diff(self.starts)
+        self.short = _hashes(np.frombuffer(self.stream, np.uint8), SHORT)
+
+    def most(self, known: np.ndarray) -> int:
+        """A bound on the words that passages of a document can hold, from the sorted hashes of its SHORT letters alone: order and place left out."""
+        if not len(known) or not len(self.short):
+            return 0
+        at = np.searchsorted(known, self.short)
+        here = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == self.short)
+        if not len(here):
+            return 0
+        # stretches of letters, and gaps that a chain may skip
+        first = np.flatnonzero(np.append(True, np.diff(here) > SHORT + GAP))
+        last = np.append(first[1:], len(here)) - 1
+        edge = np.zeros(len(self.stream) + 1, np.int64)
+        edge[here[first]] += 1
+        edge[here[last] + SHORT] -= 1
+        sums = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:-1])])
+        return int(((sums[self.starts[1:]] - sums[self.starts[:-1]]) * 2 >= self.sizes).sum())
+
+
+def _verify(share: float, texts: dict[int, str]):
+    """(doc_id, letters, item_ids) to the pairs that pass."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: dict[int, _Item] = {}
         for b in batches:
             doc, item, held, of = [], [], [], []
-            for d, i, text, item_text in zip(*(b[c] for c in ("doc_id", "item_id", "letters", "item_text"))):
-                stream, starts = item_words(item_text.as_py())
-                words, longest = passages(stream, starts, [(0, text.as_py().encode())])
-                n = len(starts) - 1
-                if words >= share * n and longest > min(QUOTE, ceil(share * n) - 1):
-                    doc.append(d.as_py()), item.append(i.as_py()), held.append(words), of.append(n)
+            for d, letters_of, ids in zip(b["doc_id"].to_pylist(), b["letters"].to_pylist(), b["item_ids"].to_pylist()):
+                stream = letters_of.encode()
+                known = np.unique(_hashes(np.frombuffer(stream, np.uint8), SHORT))
+                for i in ids:
+                    if i not in items:
+                        items[i] = _Item(texts[i])
+                    it = items[i]
+                    if it.most(known) < share * it.words:
+                        continue
+                    words, longest = passages(it.stream, it.starts, [(0, stream)])
+                    if words >= share * it.words and longest > min(QUOTE, ceil(share * it.words) - 1):
+                        doc.append(d), item.append(i), held.append(words), of.append(it.words)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(held, pa.int32()), pa.array(of, pa.int32())], names=["doc_id", "item_id", "n_words", "of_words"])
 
     return verify
@@ -289,8 +324,12 @@ def _candidates(docs: DataFrame, shingles: DataFrame, shingle_share: float) -> t
 
 def _one_block(docs: DataFrame, items: DataFrame, shingles: DataFrame, share: float, shingle_share: float) -> DataFrame:
     hits, pairs = _candidates(docs, shingles, shingle_share)
-    pairs = pairs.join(hits, "doc_id").join(items, "item_id").where(F.size("shingles") >= F.col("needed"))
-    return pairs.select("doc_id", "item_id", "letters", "item_text").mapInArrow(_verify(share), "doc_id long, item_id long, n_words int, of_words int")
+    # a document goes to its task once, with the items to look for, of which a block has no more than BLOCK_SHINGLES letters or so
+    asked = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "needed")).alias("asked")).join(hits, "doc_id")
+    ids = F.transform(F.filter("asked", lambda a: a["needed"] <= F.size("shingles")), lambda a: a["item_id"])
+    texts = items.toArrow()
+    wanted = dict(zip(texts["item_id"].to_pylist(), texts["item_text"].to_pylist()))
+    return asked.select("doc_id", "letters", ids.alias("item_ids")).mapInArrow(_verify(share, wanted), "doc_id long, item_id long, n_words int, of_words int")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", share: float = SHARE, shingle_share: float = SHINGLE_SHARE, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
